@@ -9,11 +9,12 @@ are joined by line breaks and scanned as one.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,9 +148,7 @@ def masked(df: DataFrame, text_col: str = "text", scanner: Scanner | None = None
 
     n_chars, where df has it, is not changed: it tells of the text as it came.
     """
-    from collections.abc import Iterator
 
-    import pandas as pd
 
     scanner = scanner or default_scanner()
     rules, sent = scanner.rules, df.sparkSession.sparkContext.broadcast(scanner)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -263,7 +264,6 @@ def _with_components(fps: DataFrame, budget: int, largest: int) -> DataFrame:
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, budget: int = 4) -> DataFrame:
     """df with one row of each group of near copies: the one with the smallest id, the first of repeated rows."""
-    import pandas as pd
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:

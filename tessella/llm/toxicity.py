@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from math import lgamma
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -275,7 +276,6 @@ def toxicity(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
 
 def keep_clean(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """df without the rows that the field predicts toxic, all columns as they were."""
-    import pandas as pd
 
     sent = df.sparkSession.sparkContext.broadcast(field)
     held: list[Cache] = []
