@@ -59,6 +59,8 @@ def digest_state(index: DataFrame, files_per_trigger: int = 1000) -> DataFrame:
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
         "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }.items():
         own.conf.set(key, value)
