@@ -1,0 +1,208 @@
+"""CellFrame: one row an entity, many numeric features, with named masks, feature sets, validity domains and labels."""
+
+from __future__ import annotations
+
+import zlib
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessella.functions.scalers import FittedScaler, ScalerRule, fit_scaler, screen
+from tessella.operators.labels import Label, LabelSet
+from tessella.operators.space import FittedSpace, fit_space
+
+MASK = "_mask_"
+_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+class CellFrame:
+    """Holds a plan and a registry; every verb swaps the plan and returns self, so calls can be chained."""
+
+    def __init__(self, df: DataFrame, features: list[str], *, id_col: str = "cell_id", rule: ScalerRule | None = None, seed: int = 0, check: bool = True):
+        types = dict(df.dtypes)
+        if bad := [c for c in features if types[c] not in _NUMERIC and not types[c].startswith("decimal")]:
+            raise TypeError(f"features that are not numeric: {bad}")
+        if reserved := [c for c in df.columns if c.startswith(MASK)]:
+            raise ValueError(f"reserved names: {reserved}")
+        if check:
+            n, distinct = df.agg(F.count(F.lit(1)), F.countDistinct(id_col)).first()
+            if n != distinct:
+                raise ValueError(f"{id_col} is null or repeated in {n - distinct} rows")
+        self.df, self.feature_names, self.id_col = df, list(features), id_col
+        self.rule, self.seed = rule or ScalerRule(), seed
+        self.masks: dict[str, str | None] = {}
+        self.collections: dict[str, list[str]] = {}
+        self.validity: dict[str, str] = {}
+        self.transforms: dict[str, str] = {}
+        self.labels: dict[str, dict[int, Label]] = {}
+        self._scalers: dict[tuple, FittedScaler] = {}
+        self._spaces: dict[tuple, FittedSpace] = {}
+
+    def seed_for(self, op: str, mask: str | None, name: str) -> int:
+        words = [self.seed, *(zlib.crc32((x or "all").encode()) for x in (op, mask, name))]
+        return int(np.random.SeedSequence(words).generate_state(1)[0])
+
+    # masks and views
+
+    def mask(self, name: str | None) -> Column:
+        if name in (None, "all"):
+            return F.lit(True)
+        if name not in self.masks:
+            raise KeyError(f"no mask {name}; there are {sorted(self.masks)}")
+        return F.col(MASK + name)
+
+    def add_mask(self, name: str, predicate: Column | str, *, based_on: str | None = None) -> CellFrame:
+        """A snapshot of the predicate; null is false; with based_on also the parent must hold. Redefining drops fits made on the mask."""
+        if "/" in name or name == "all":
+            raise ValueError(f"bad mask name {name}")
+        cond = F.expr(predicate) if isinstance(predicate, str) else predicate
+        self.df = self.df.withColumn(MASK + name, F.coalesce(cond, F.lit(False)) & self.mask(based_on))
+        self.masks[name] = based_on
+        self._forget(name)
+        return self
+
+    def drop_mask(self, name: str) -> CellFrame:
+        self.mask(name)
+        if name in self.validity.values():
+            raise ValueError(f"{name} is a validity domain")
+        self.df = self.df.drop(MASK + name)
+        del self.masks[name]
+        self._forget(name)
+        return self
+
+    def _forget(self, mask: str | None = None) -> None:
+        for held in (self._scalers, self._spaces):
+            for key in [k for k in held if mask is None or k[0] == mask]:
+                del held[key]
+
+    def view(self, mask: str | None = None, *, scaled: bool = False, columns: str | list[str] | None = None) -> DataFrame:
+        """Rows of a mask without mask columns, features raw or scaled; with columns, other features are left out."""
+        cols = self.resolve(columns)
+        out = self.df.filter(self.mask(mask))
+        if scaled:
+            out = self.scaler(mask, columns).apply(out)
+        drop = [c for c in out.columns if c.startswith(MASK) or c in self.feature_names and c not in cols]
+        return out.drop(*drop)
+
+    def mask_counts(self) -> DataFrame:
+        """(mask, n) of every mask in one pass."""
+        names = ["all", *self.masks]
+        sums = [F.sum(self.mask(m).cast("long")).alias(m) for m in names]
+        return self.df.agg(*sums).unpivot([], [F.col(f"`{m}`") for m in names], "mask", "n")
+
+    # feature sets and validity
+
+    def define_features(self, name: str, columns: list[str]) -> CellFrame:
+        if missing := [c for c in columns if c not in self.feature_names]:
+            raise KeyError(f"no features {missing}")
+        self.collections[name] = list(dict.fromkeys(columns))
+        return self
+
+    def resolve(self, columns: str | list[str] | None) -> list[str]:
+        if columns is None:
+            return list(self.feature_names)
+        return list(self.collections[columns] if isinstance(columns, str) else columns)
+
+    def set_validity(self, columns: str | list[str] | None, where: str | None) -> CellFrame:
+        for c in self.resolve(columns):
+            if where is None:
+                self.validity.pop(c, None)
+            else:
+                self.mask(where)
+                self.validity[c] = where
+        return self
+
+    def valid(self, column: str) -> Column:
+        return self.mask(self.validity.get(column))
+
+    def fully_valid(self, columns: str | list[str] | None = None) -> Column:
+        return reduce(lambda a, b: a & b, [self.valid(c) for c in self.resolve(columns)], F.lit(True))
+
+    def validity_patterns(self, mask: str | None = None, columns: str | list[str] | None = None) -> DataFrame:
+        invalid = F.array_compact(F.array(*[F.when(~self.valid(c), F.lit(c)) for c in self.resolve(columns)]))
+        out = self.df.filter(self.mask(mask)).groupBy(invalid.alias("invalid_features")).agg(F.count(F.lit(1)).alias("n_cells"))
+        return out.select("n_cells", F.size("invalid_features").alias("n_invalid"), "invalid_features")
+
+    # columns, joins, labels
+
+    def add_features(self, source: DataFrame, features: list[str], *, allow_missing: bool = False) -> CellFrame:
+        """Left-join feature columns by id; repeated keys, clashes and uncovered rows are errors."""
+        if clash := [c for c in features if c in self.df.columns]:
+            raise ValueError(f"columns exist: {clash}")
+        right = source.select(self.id_col, *features, F.lit(True).alias("__found"))
+        if not right.groupBy(self.id_col).count().filter("count > 1").isEmpty():
+            raise ValueError("source repeats ids")
+        joined = self.df.join(right, self.id_col, "left")
+        if not allow_missing and not joined.filter("__found IS NULL").isEmpty():
+            raise ValueError("source leaves rows uncovered")
+        self.df = joined.drop("__found")
+        self.feature_names += features
+        return self
+
+    def add_column(self, name: str, value: Column, *, mask: str | None = None, fill=None, overwrite: bool = False) -> CellFrame:
+        if name in self.df.columns and not overwrite:
+            raise ValueError(f"{name} exists")
+        self.df = self.df.withColumn(name, F.when(self.mask(mask), value).otherwise(F.lit(fill)))
+        if name in self.feature_names:
+            self._forget()
+        return self
+
+    def attach(self, labels: LabelSet, *, name: str | None = None, overwrite: bool = False) -> CellFrame:
+        name = name or labels.name
+        clash = [c for c in (name, f"{name}_id") if c in self.df.columns]
+        if clash and not overwrite:
+            raise ValueError(f"columns exist: {clash}")
+        named = LabelSet(labels.fact.withColumnRenamed(labels.id_col, self.id_col), labels.meta, name, self.id_col)
+        self.df = self.df.drop(*clash).join(named.to_frame(), self.id_col, "left")
+        self.labels[name] = dict(labels.meta)
+        return self
+
+    def detach(self, name: str) -> CellFrame:
+        del self.labels[name]
+        self.df = self.df.drop(name, f"{name}_id")
+        return self
+
+    def labelset(self, column: str, *, mask: str | None = None) -> LabelSet:
+        rows = self.df.filter(self.mask(mask))
+        if column not in self.labels:
+            return LabelSet.from_labels(rows, column, id_col=self.id_col)
+        code = F.coalesce(F.col(f"{column}_id").cast("long"), F.lit(-1).cast("long"))
+        return LabelSet(rows.select(self.id_col, code.alias("code")), dict(self.labels[column]), column, self.id_col)
+
+    # fits
+
+    def preprocess(self, *, method: str = "ihs", threshold: float = 1.5, columns: str | list[str] | None = None) -> CellFrame:
+        self.transforms |= screen(self.df, self.resolve(columns), method=method, threshold=threshold)
+        self._forget()
+        return self
+
+    def scaler(self, mask: str | None = None, columns: str | list[str] | None = None) -> FittedScaler:
+        cols = self.resolve(columns)
+        key = (mask, tuple(cols))
+        if key not in self._scalers:
+            self._scalers[key] = fit_scaler(self.df.filter(self.mask(mask)), cols, self.rule, self.transforms)
+        return self._scalers[key]
+
+    def set_scaler_rule(self, rule: ScalerRule) -> CellFrame:
+        self.rule = rule
+        self._forget()
+        return self
+
+    def vectors(self, mask: str | None = None, *, scaled: bool = True, columns: str | list[str] | None = None) -> DataFrame:
+        """(id, features array<double>) of a mask."""
+        cols = self.resolve(columns)
+        rows = self.view(mask, scaled=scaled, columns=cols)
+        return rows.select(self.id_col, F.array(*[F.col(c).cast("double") for c in cols]).alias("features"))
+
+    def space(self, mask: str | None = None, *, columns: str | list[str] | None = None, explained: float | int = 0.95, alpha: float = 0.0) -> FittedSpace:
+        cols = self.resolve(columns)
+        key = (mask, tuple(cols), explained, alpha)
+        if key not in self._spaces:
+            self._spaces[key] = fit_space(self.vectors(mask, columns=cols), explained=explained, alpha=alpha)
+        return self._spaces[key]
+
+    def project(self, rows: DataFrame, mask: str | None = None, *, columns: str | list[str] | None = None) -> DataFrame:
+        """New rows, batch or streaming, through the frozen scaler of a mask."""
+        return self.scaler(mask, columns).apply(rows)
