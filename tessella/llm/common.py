@@ -53,20 +53,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def located(df: DataFrame) -> DataFrame:
-    """df with `__file` and `__row`, a stable place of each row; rows that come from no file are staged first."""
-    if "_metadata" not in df.columns:
-        try:
-            return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-        except AnalysisException:
-            pass
-        df = staged(df, "rows")
-        return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    safe = staged(df.withColumnRenamed("_metadata", "__metadata"), "rows")
-    return safe.select(
-        *[F.col(c).alias("_metadata" if c == "__metadata" else c) for c in safe.columns],
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.row_index").alias("__row"),
-    )
+    """df with its columns renamed to __c0, __c1, ... and the place of each row as `__file` and `__row`.
+
+    No name of df can clash with these. Rows that come from no file are staged first.
+    """
+    own = df.select(*[quoted(c).alias(f"__c{k}") for k, c in enumerate(df.columns)])
+    try:
+        place = df.metadataColumn("_metadata")
+        columns = [quoted(c).alias(f"__c{k}") for k, c in enumerate(df.columns)]
+        return df.select(*columns, place["file_path"].alias("__file"), place["row_index"].alias("__row"))
+    except AnalysisException:
+        own = staged(own, "rows")
+    return own.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+
+
+def inner(df: DataFrame, name: str) -> Column:
+    """The column of located(df) that was called name in df."""
+    return F.col(f"__c{df.columns.index(name)}")
+
+
+def restored(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """Rows of located(df) with the columns of df."""
+    return rows.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(df.columns)])
 
 
 def quoted(name: str) -> Column:

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACES, delete_path, documents, drop_staged, located, quoted, shared_dir, staged
+from tessella.llm.common import SPACES, delete_path, documents, drop_staged, inner, located, restored, shared_dir, staged
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -97,9 +97,10 @@ def exact_dedup(
     digest may be replaced (tests use a poor one): the bytes decide, the digest only finds candidates.
     """
     rows = located(df)
-    norm = normalised(quoted(text_col).cast("string"))
+    text = inner(df, text_col).cast("string")
+    norm = normalised(text)
     keyed = rows.select(
-        digest(norm).alias("digest"), quoted(id_col).alias("doc_id"), "__file", "__row", norm.alias("norm"), quoted(text_col).cast("string").alias("text")
+        digest(norm).alias("digest"), inner(df, id_col).alias("doc_id"), "__file", "__row", norm.alias("norm"), text.alias("text")
     )
     index = staged(
         keyed.select("digest", F.char_length(F.coalesce("text", F.lit(""))).alias("n_chars"), "doc_id", "__file", "__row"), "index"
@@ -165,7 +166,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """df without the rows that exact_dedup drops, all columns as they were."""
     rows = located(df)
     gone = exact_dedup(df, id_col, text_col).filter(~F.col("kept")).select("__file", "__row")
-    return rows.join(gone, ["__file", "__row"], "left_anti").select(*[quoted(c) for c in df.columns])
+    return restored(rows.join(gone, ["__file", "__row"], "left_anti"), df)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import documents, drop_staged, located, map_texts, quoted, slim, staged
+from tessella.llm.common import documents, drop_staged, inner, located, map_texts, restored, slim, staged
 from tessella.llm.components import components
 
 SEED = 42
@@ -270,13 +270,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, w
         return pd.Series(np.array([fingerprint(x or "", words) for x in texts], np.uint64).view(np.int64))
 
     rows = located(df)
-    fps = staged(rows.select(quoted(id_col).alias("doc_id"), "__file", "__row", fp(quoted(text_col).cast("string")).alias("fp")), "fingerprints")
+    fps = staged(rows.select(inner(df, id_col).alias("doc_id"), "__file", "__row", fp(inner(df, text_col).cast("string")).alias("fp")), "fingerprints")
     roots = near_components(fps, budget)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__file", "__row"))
     groups = fps.groupBy("fp").agg(best.alias("best"))
     named = groups.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
     stay = named.select("best.__file", "best.__row")
-    return rows.join(stay, ["__file", "__row"], "left_semi").select(*[quoted(c) for c in df.columns])
+    return restored(rows.join(stay, ["__file", "__row"], "left_semi"), df)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
