@@ -10,7 +10,6 @@ padding.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -20,44 +19,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import documents, pieces, slim, staged
-from tessella.llm.units import Cache
 
 END = "<|endoftext|>"
-_ODD_SPACES = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_RUNS = ("  ", "\n\n", " \n", "\n ", END)
 PIECE = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class ByteEncoder:
-    """Ids of a byte-level BPE vocabulary as little-endian unsigned 32-bit numbers, equal to those of the tokenizers library.
+    """Ids of a byte-level BPE vocabulary as little-endian unsigned 32-bit numbers, equal to those of the tokenizers library."""
 
-    The vocabulary's pattern always cuts before a single blank and around a single line break that lie between
-    other characters, so the stretches between them are encoded apart and remembered. Other texts are encoded whole.
-    """
-
-    def __init__(self, ranks_path: str, pattern: str, end_id: int, most: int = 200_000):
+    def __init__(self, ranks_path: str, pattern: str, end_id: int):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={END: end_id})
-        self.first = Cache(self._whole, most // 4)
-        self.later = Cache(lambda x: self._whole(" " + x), most)
-        self.line = self._whole("\n")
-
-    def _whole(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _RUNS) or _ODD_SPACES.search(text):
-            return self._whole(text)
-        first, later, out = self.first, self.later, []
-        for line in text.split("\n"):
-            units = line.split(" ")
-            out.append(first[units[0]] + b"".join([later[x] for x in units[1:]]))
-        return self.line.join(out)
+        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes() if text else b""
 
 
 class Packer:
