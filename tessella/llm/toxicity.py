@@ -143,31 +143,44 @@ def without_copies(texts: list[str]) -> list[int]:
     return out
 
 
-def train(texts: list[str], labels: list[int], *, rounds: int = 40, penalty: float = 0.05, rate: float = 0.4) -> Field:
-    """Fit the field on two thirds of the documents, copies left out, and the score's curve on the rest. Without both labels every score is their mean (0 without any)."""
+def train(texts: list[str], labels: list[int], *, rounds: int = 40, penalty: float = 0.05, rate: float = 0.4, most_tokens: int = 400_000) -> Field:
+    """Fit the field on two thirds of the documents, copies left out, and the score's curve on the rest.
+
+    The chains that are walked have `most_tokens` tokens, so that the driver's memory is bounded. Without both labels
+    every score is their mean (near 0 without any).
+    """
     single = without_copies(texts)
     texts, y = [texts[k] for k in single], np.array([labels[k] for k in single], np.int64)
     if not len(y) or y.min() == y.max():
         base = 1e-3 if not len(y) else float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
         return Field(np.zeros(BUCKETS, np.float32), -20.0, np.array([[0.0, -20.0], [0.0, -20.0]]), np.array([np.log(base / (1 - base)), 0, 0]))
-    raw = [_WORD.findall(x) for x in texts]
-    words = [[clean_word(w) for w in x] for x in raw]
+    pool: dict[str, str] = {}  # one object a word
+    words = [[pool.setdefault(c, c) for c in map(clean_word, _WORD.findall(x))] for x in texts]
     held = np.arange(len(y)) % 3 == 2
     if not (y[~held].any() and y[held].any()):
         held[:] = False
     fit = np.flatnonzero(~held)
     lexicon = toxic_words([words[k] for k in fit], y[fit])
-    wanted = fit[y[fit] == 1].tolist() + fit[y[fit] == 0][: 2 * int(y[fit].sum())].tolist()
-    chain = [k for k in wanted if words[k]]
+    toxic, clean = fit[y[fit] == 1].tolist(), fit[y[fit] == 0].tolist()
+    chain, held_tokens = [], 0
+    for k, one in enumerate(toxic):
+        for doc in (one, *clean[2 * k : 2 * k + 2]):
+            if words[doc] and held_tokens + len(words[doc]) <= most_tokens:
+                chain.append(doc)
+                held_tokens += len(words[doc])
+    if not chain:
+        return train([], [])
     tokens = [w for k in chain for w in words[k]]
     first = np.cumsum([0, *(len(words[k]) for k in chain)])[:-1]
     truth = np.array([y[k] == 1 and w in lexicon for k in chain for w in words[k]], np.float64)
-    feats = np.array([features(w) for w in tokens], np.int64).reshape(-1, 2)
+    known = {w: features(w) for w in set(tokens)}
+    feats = np.array([known[w] for w in tokens], np.int64).reshape(-1, 2)
+    del words, tokens, known, pool
     start, trans = -3.0, np.array([[0.0, -3.0], [0.0, -1.0]])
     weights = np.zeros(BUCKETS)
     momentum, square = np.zeros(BUCKETS + 5), np.zeros(BUCKETS + 5)
     prior = np.concatenate(([0.0], truth[:-1]))
-    inner = np.ones(len(tokens), bool)
+    inner = np.ones(len(truth), bool)
     inner[first] = False
     for step in range(1, rounds + 1):
         p, joint = marginals(weights[feats].sum(1), first, start, trans, pairs=True)
@@ -187,7 +200,11 @@ def train(texts: list[str], labels: list[int], *, rounds: int = 40, penalty: flo
             trans[a, b] += move[BUCKETS + 1 + k]
     field = Field(weights.astype(np.float32), float(start), trans, np.zeros(3), lexicon)
     which = np.flatnonzero(held) if held.any() else np.arange(len(y))
-    evidence = np.array([_evidence(p) for p in _by_text(field, [raw[k] for k in which], field.emission)])
+    evidence = []
+    for at in range(0, len(which), 128):
+        raw = [_WORD.findall(texts[k]) for k in which[at : at + 128]]
+        evidence += [_evidence(p) for p in _by_text(field, raw, field.emission)]
+    evidence = np.array(evidence)
     field.curve = _logistic(evidence, y[which])
     return field
 
