@@ -81,6 +81,21 @@ def conformal_p_values(calibration: DataFrame, test: DataFrame) -> DataFrame:
     return x.select("cell_id", "class_id", ((F.col("above") + 1) / (F.col("m") + 1)).alias("p_value"))
 
 
+def weighted_p_values(calibration: DataFrame, test: DataFrame) -> DataFrame:
+    """Class-conditional p-values under shift: (weight of calibration scores >= t, plus the row's own) over (all weight of the class, plus its own).
+
+    calibration: (class_id, score, weight); test: (cell_id, class_id, score, weight). A class without calibration rows gives 1.
+    """
+    kind = test.schema["cell_id"].dataType
+    both = calibration.select("class_id", "score", "weight", F.lit(True).alias("cal"), F.lit(None).cast(kind).alias("cell_id")).unionByName(
+        test.select("class_id", "score", "weight", F.lit(False).alias("cal"), "cell_id")
+    )
+    mass = F.when(F.col("cal"), F.col("weight")).otherwise(0.0)
+    above = F.sum(mass).over(Window.partitionBy("class_id").orderBy(F.desc("score")))
+    x = both.withColumns({"above": above, "all": F.sum(mass).over(Window.partitionBy("class_id"))}).filter(~F.col("cal"))
+    return x.select("cell_id", "class_id", ((F.col("above") + F.col("weight")) / (F.col("all") + F.col("weight"))).alias("p_value"))
+
+
 def prediction_sets(p: DataFrame, alpha: float = 0.1) -> DataFrame:
     """(cell_id, plausibility, set_size, classes, assigned): classes with p > alpha; a singleton is assigned, else -1."""
     inside = F.when(F.col("p_value") > alpha, F.col("class_id"))

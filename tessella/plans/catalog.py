@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from tessella.functions.scalars import ihs
 from tessella.functions.scalers import ScalerRule, fit_scaler, quantile_scaled, screen
 from tessella.operators import agreement as ag
+from tessella.operators import boundary as bd
 from tessella.operators import consensus as cs
 from tessella.operators import datasets as ds
 from tessella.operators import diagnostics as dg
 from tessella.operators import gradient as gr
 from tessella.operators import knn as kn
+from tessella.operators import outliers as ot
 from tessella.operators import transfer as tr
 from tessella.operators import validate as va
 from tessella.operators.frame import CellFrame
@@ -654,3 +656,43 @@ def windowed_events(spark, sf_dir):
     return rounded(windowed_counts(read_table(spark, sf_dir, "events")), "total", digits=4)
 
 
+# boundaries, outliers, shift
+
+
+@query(KNN_SQL + """, g AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM k),
+d AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM g UNION ALL SELECT b FROM g) GROUP BY id),
+h AS (SELECT src AS id, 1 / max(dist) AS rho FROM k GROUP BY src),
+s AS (SELECT code, count(*) AS n, sum(degree) AS volume, quantile_cont(rho, 0.9) AS peak FROM v JOIN d USING (id) JOIN h USING (id) GROUP BY code),
+c AS (SELECT least(x.code, y.code) AS ca, greatest(x.code, y.code) AS cb, count(*) AS seen, max(least(hx.rho, hy.rho)) AS saddle
+      FROM g JOIN v x ON x.id = g.a JOIN v y ON y.id = g.b JOIN h hx ON hx.id = g.a JOIN h hy ON hy.id = g.b WHERE x.code <> y.code GROUP BY ALL),
+r AS (SELECT s.code AS cluster_a, t.code AS cluster_b, s.n AS n_a, t.n AS n_b, coalesce(seen, 0) / (s.volume * t.volume / (2.0 * (SELECT count(*) FROM g))) AS con,
+      coalesce(saddle, 0) / least(s.peak, t.peak) AS val FROM s JOIN s t ON s.code < t.code LEFT JOIN c ON ca = s.code AND cb = t.code),
+o AS (SELECT *, CASE WHEN con < 0.1 THEN 'discrete' WHEN con > 0.5 THEN 'continuous' END AS vc, CASE WHEN val < 0.5 THEN 'discrete' ELSE 'continuous' END AS vv FROM r)
+SELECT cluster_a, cluster_b, n_a, n_b, CASE WHEN least(n_a, n_b) >= 10 THEN round(con, 6) END AS connectivity_ratio, CASE WHEN least(n_a, n_b) >= 10 THEN round(val, 6) END AS valley_ratio,
+       CASE WHEN least(n_a, n_b) < 10 THEN 'too_small' WHEN vc = vv THEN vc ELSE 'ambiguous' END AS verdict FROM o""")
+def boundary_edges(spark, sf_dir):
+    out = bd.boundary_report(vectors(spark, sf_dir), edges(spark, sf_dir), dips=False)
+    return rounded(out.select("cluster_a", "cluster_b", "n_a", "n_b", "connectivity_ratio", "valley_ratio", "verdict"), "connectivity_ratio", "valley_ratio")
+
+
+@query()
+def boundary_report(spark, sf_dir):
+    return bd.boundary_report(vectors(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query()
+def outlier_scores(spark, sf_dir):
+    return ot.outlier_score(vectors(spark, sf_dir))
+
+
+@query("""
+WITH c AS (SELECT c_nationkey % 3 AS class_id, c_acctbal AS score, 1 + c_nationkey % 4 AS weight FROM customer),
+t AS (SELECT s_suppkey AS cell_id, s_nationkey % 3 AS class_id, s_acctbal AS score, 1 + s_nationkey % 4 AS weight FROM supplier)
+SELECT t.cell_id, t.class_id, round((coalesce(sum(c.weight) FILTER (c.score >= t.score), 0) + t.weight) / (sum(c.weight) + t.weight), 6) AS p_value FROM t JOIN c USING (class_id) GROUP BY t.cell_id, t.class_id, t.weight""")
+def weighted_p_values(spark, sf_dir):
+    def scores(key):
+        return ((F.col(f"{key}_nationkey") % 3).alias("class_id"), F.col(f"{key}_acctbal").alias("score"), (1 + F.col(f"{key}_nationkey") % 4).cast("double").alias("weight"))
+
+    cal = read_table(spark, sf_dir, "customer").select(*scores("c"))
+    test = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cell_id"), *scores("s"))
+    return rounded(va.weighted_p_values(cal, test), "p_value")

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tessella.functions.scalars import clip, ihs
 from tessella.functions.scalers import FittedScaler, ScalerRule, fit_scaler
 from tessella.operators import agreement as ag
+from tessella.operators import boundary as bd
 from tessella.operators import consensus as cs
 from tessella.operators import diagnostics as dg
 from tessella.operators import gradient as gr
 from tessella.operators import knn as kn
+from tessella.operators import outliers as ot
 from tessella.operators import transfer as tr
 from tessella.operators import validate as va
 from tessella.operators.frame import CellFrame
@@ -222,3 +224,39 @@ def test_stream_projection_equals_batch(spark, table, tmp_path):
     got = {r["cell_id"]: r["features"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r["cell_id"]: r["features"] for r in space.transform(f.vectors(), "cell_id").collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def labelled(spark, x, codes):
+    return spark.createDataFrame([(i, [float(v) for v in row], int(c)) for i, (row, c) in enumerate(zip(x, codes, strict=True))], "cell_id long, features array<double>, code long")
+
+
+def test_boundary_tells_a_gap_from_a_cut(spark):
+    rng = np.random.default_rng(1)
+    apart = labelled(spark, np.concatenate((rng.normal(0, 1, (60, 3)), rng.normal(12, 1, (60, 3)))), [0] * 60 + [1] * 60)
+    even = rng.uniform(0, 1, (160, 2))
+    halved = labelled(spark, even, even[:, 0] > 0.5)
+    for rows, verdict in ((apart, "discrete"), (halved, "continuous")):
+        found = bd.boundary_report(rows, kn.knn(rows, rows, 15)).collect()
+        assert [(r["cluster_a"], r["cluster_b"], r["verdict"], r["vote_dip"]) for r in found] == [(0, 1, verdict, verdict)]
+
+
+def test_boundary_of_small_and_of_co_clustered_pairs(spark):
+    x = np.arange(24.0)[:, None]
+    rows = labelled(spark, x, [0] * 10 + [1] * 10 + [2] * 3 + [-1])
+    near = kn.knn(rows, rows, 3)
+    same = spark.createDataFrame([(0, 10, 0.5), (1, 11, 0.9), (2, 3, 1.0)], "i long, j long, freq double")
+    found = {(r["cluster_a"], r["cluster_b"]): r for r in bd.boundary_report(rows, near, same).collect()}
+    assert set(found) == {(0, 1), (0, 2), (1, 2)}
+    assert found[0, 2]["verdict"] == found[1, 2]["verdict"] == "too_small" and found[0, 2]["valley_ratio"] is None
+    assert found[0, 1]["cocluster_cross_mean"] == pytest.approx(1.4 / 100) and found[0, 1]["cocluster_band"] == pytest.approx(0.01)
+    assert bd.boundary_report(rows.filter("code > 5"), near).count() == 0
+
+
+def test_outliers_score_highest(spark):
+    x = np.concatenate((np.random.default_rng(2).normal(0, 1, (300, 4)), np.full((1, 4), 9.0)))
+    rows = labelled(spark, x, [0] * 301)
+    found = {r["cell_id"]: r["outlier_score"] for r in ot.outlier_score(rows).collect()}
+    assert len(found) == 301 and max(found, key=found.get) == 300 and all(0 < v < 1 for v in found.values())
+    assert found == {r["cell_id"]: r["outlier_score"] for r in ot.outlier_score(rows).collect()}
+    assert ot.outlier_score(rows.filter("cell_id < 0")).count() == 0
+    assert ot.outlier_score(labelled(spark, np.zeros((5, 2)), [0] * 5)).distinct().count() == 5
