@@ -66,8 +66,8 @@ def dip_p(dip: float, n: int, points: int = 300) -> float:
 def pair_dips(rows: DataFrame, pairs: DataFrame, points: int = 1000) -> DataFrame:
     """(cluster_a, cluster_b, dip, dip_p) of both clusters' rows on the line through their centres; none where the centres agree.
 
-    Of a pair's sorted projections about `points` evenly spaced ones are read (all, up to that number), so that the
-    dip is within 1/points of its value and what one task gathers is bounded.
+    Of a pair's sorted projections evenly spaced ones are read, over half of `points` and at most as many (all, up to
+    that number), so that the dip is within 2/points of its value and what one task gathers is bounded.
     """
     each = rows.select("code", F.posexplode("features").alias("at", "x")).groupBy("code", "at").agg(F.avg("x").alias("x"))
     centres = each.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("c")).select("code", F.col("c.x").alias("c"))
