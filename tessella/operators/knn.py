@@ -41,9 +41,9 @@ def _kernel(ids: np.ndarray, ref: np.ndarray, k: int, exclude_self: bool):
 def knn(query: DataFrame, ref: DataFrame, k: int, id_col: str = "cell_id", vec_col: str = "features", *, exclude_self: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(src, dst, dist, rank): the k nearest reference rows of each query row, ties by id.
 
-    The size of the reference decides the way. Within broadcast_bytes it goes to every task once. Beyond, it is
-    taken in blocks of that size, one broadcast after the other; each block gives k candidates a query row, and the
-    k best of k * blocks stay. Either way the result is exact.
+    The size of the reference decides the way. Within broadcast_bytes it goes to every task once. Beyond, both sides
+    are dealt into blocks of half that size and each pair of blocks meets in one task: nothing passes through the
+    driver, a task holds two blocks, and each gives k candidates a row, of which the k best stay. Both ways are exact.
     """
     kind = ref.schema[id_col].dataType.simpleString()
     schema = f"src {kind}, dst {kind}, dist double, rank int"
@@ -52,18 +52,23 @@ def knn(query: DataFrame, ref: DataFrame, k: int, id_col: str = "cell_id", vec_c
     n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     if not n:
         return query.sparkSession.createDataFrame([], schema)
-    blocks = -(-n * width * 8 // broadcast_bytes)
-    parts = []
-    for b in range(blocks):
-        block = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        pdf = block.toPandas()
-        if len(pdf):
-            parts.append(asked.mapInPandas(_kernel(pdf["id"].to_numpy(), np.array(pdf["vec"].tolist(), np.float64), k, exclude_self), schema))
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
+    if n * width * 8 <= broadcast_bytes:
+        pdf = rows.toPandas()
+        return asked.mapInPandas(_kernel(pdf["id"].to_numpy(), np.array(pdf["vec"].tolist(), np.float64), k, exclude_self), schema)
+    many, several = (-(-size * width * 16 // broadcast_bytes) for size in (asked.count() or 1, n))
+
+    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def meet(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(block):
+            return pd.DataFrame({"src": [], "dst": [], "dist": [], "rank": []})
+        near = _kernel(block["id"].to_numpy(), np.array(block["vec"].tolist(), np.float64), k, exclude_self)
+        return pd.concat(list(near(iter([some]))))
+
+    left = dealt(asked, "qb", many, "rb", several).groupBy("qb", "rb")
+    right = dealt(rows, "rb", several, "qb", many).groupBy("qb", "rb")
+    out = left.cogroup(right).applyInPandas(meet, schema)
     best = Window.partitionBy("src").orderBy("dist", "dst")
     return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -162,8 +167,8 @@ def triage(edges: DataFrame, codes: DataFrame, *, majority: float = 0.5, id_col:
     )
 
 
-def vote(edges: DataFrame, codes: DataFrame, *, weights: str = "uniform", min_confidence: float | None = None, id_col: str = "cell_id") -> DataFrame:
-    """(src, code, confidence): the code with most votes of labelled neighbours, ties to the lowest; -1 without votes or below min_confidence."""
+def shares(edges: DataFrame, codes: DataFrame, *, weights: str = "uniform", id_col: str = "cell_id") -> DataFrame:
+    """(src, code, share): the normalised votes of each row's labelled neighbours."""
     voted = edges.join(codes.filter("code >= 0").select(F.col(id_col).alias("dst"), "code"), "dst")
     if weights == "distance":
         middle = edges.filter("dist > 0").agg(F.percentile("dist", 0.5)).first()[0] or 1.0
@@ -171,9 +176,15 @@ def vote(edges: DataFrame, codes: DataFrame, *, weights: str = "uniform", min_co
     else:
         w = F.lit(1.0)
     tally = voted.groupBy("src", "code").agg(F.sum(w).alias("v"))
-    best = tally.groupBy("src").agg(F.max(F.struct("v", (-F.col("code")).alias("c"))).alias("best"), F.sum("v").alias("total"))
+    return tally.select("src", "code", (F.col("v") / F.sum("v").over(Window.partitionBy("src"))).alias("share"))
+
+
+def vote(edges: DataFrame, codes: DataFrame, *, weights: str = "uniform", min_confidence: float | None = None, id_col: str = "cell_id") -> DataFrame:
+    """(src, code, confidence): the code with most votes of labelled neighbours, ties to the lowest; -1 without votes or below min_confidence."""
+    per = shares(edges, codes, weights=weights, id_col=id_col)
+    best = per.groupBy("src").agg(F.max(F.struct("share", (-F.col("code")).alias("c"))).alias("best"))
     out = edges.select("src").distinct().join(best, "src", "left")
-    confidence = F.coalesce(F.col("best.v") / F.col("total"), F.lit(0.0))
+    confidence = F.coalesce(F.col("best.share"), F.lit(0.0))
     code = F.coalesce(-F.col("best.c"), F.lit(-1))
     if min_confidence is not None:
         code = F.when(confidence >= min_confidence, code).otherwise(-1)

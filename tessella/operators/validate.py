@@ -8,6 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.knn import vote
+from tessella.operators.transfer import cut_lineage
+
 
 def label_purity(codes: DataFrame, audit: DataFrame) -> DataFrame:
     """Per cluster of (cell_id, code) against (cell_id, audit): dominant audit label (ties by name), purity over known, null count."""
@@ -54,6 +57,45 @@ def binomial_p(a: int, b: int) -> float:
     return min(1.0, 2 * sum(math.exp(log(i)) for i in range(k + 1)) - (math.exp(log(k)) if 2 * k == n else 0))
 
 
+def path_recovery(graph: DataFrame, truth: DataFrame, *, k: int = 15, cost: str = "neg_log", max_sources: int = 2000, seed: int = 0) -> DataFrame:
+    """(cell_id, truth, predicted, correct): labels read off the k labelled cells nearest along a graph (a, b, weight).
+
+    Path costs are -ln(weight) or 1 - weight ("complement"), hops where the graph has no weight. Labelled cells beyond
+    max_sources are sampled by a hash; the sample both asks and votes. A cell that reaches no other abstains: -1.
+    All sources advance together; paths longer than a source's k-th nearest labelled cell so far are given up, which
+    loses none of the k nearest, as costs are never negative.
+    """
+    if cost not in ("neg_log", "complement"):
+        raise ValueError(cost)
+    labelled = truth.filter("code >= 0").select("cell_id", "code")
+    n = labelled.count()
+    if n < 3:
+        raise ValueError("paths need three labelled cells")
+    if n > max_sources:
+        labelled, n = labelled.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(max_sources), max_sources
+    labelled = cut_lineage(labelled)
+    k = min(k, n - 1)
+    price = F.lit(1.0)
+    if "weight" in graph.columns:
+        price = -F.log(F.greatest("weight", F.lit(1e-12))) if cost == "neg_log" else 1 - F.col("weight")
+    one = graph.select("a", "b", F.greatest(price, F.lit(0.0)).alias("c"))
+    steps = cut_lineage(one.select(F.col("a").alias("node"), F.col("b").alias("to"), "c").unionByName(one.select(F.col("b").alias("node"), F.col("a").alias("to"), "c")))
+    ends = labelled.select(F.col("cell_id").alias("node"), F.lit(True).alias("end"))
+    known = labelled.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("node"), F.lit(0.0).alias("d"), F.lit(True).alias("fresh"))
+    kth = Window.partitionBy("src", "ends").orderBy("d", "node")
+    while known.filter("fresh").limit(1).count():
+        moved = known.filter("fresh").join(steps, "node").select("src", F.col("to").alias("node"), (F.col("d") + F.col("c")).alias("d"), F.lit(True).alias("fresh"))
+        x = known.withColumn("fresh", F.lit(False)).unionByName(moved).groupBy("src", "node").agg(F.min(F.struct("d", "fresh")).alias("m")).select("src", "node", "m.*")
+        x = x.join(ends, "node", "left").withColumn("ends", F.coalesce("end", F.lit(False)) & (F.col("src") != F.col("node"))).withColumn("r", F.row_number().over(kth))
+        bound = F.max(F.when(F.col("ends") & (F.col("r") == k), F.col("d"))).over(Window.partitionBy("src"))
+        known = cut_lineage(x.withColumn("bound", bound).filter("bound IS NULL OR d <= bound").select("src", "node", "d", "fresh"))
+    near = known.filter("src <> node").join(ends, "node").withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d", "node")))
+    edges = near.filter(F.col("rank") <= k).select("src", F.col("node").alias("dst"), F.col("d").alias("dist"), "rank")
+    read = vote(edges, labelled).select(F.col("src").alias("cell_id"), F.col("code").alias("predicted"))
+    out = labelled.withColumnRenamed("code", "truth").join(read, "cell_id", "left").fillna(-1, ["predicted"])
+    return out.withColumn("correct", F.col("truth") == F.col("predicted"))
+
+
 def retention(reference: DataFrame, drawn: DataFrame) -> DataFrame:
     """(cell_id, kept): share of a cell's reference cluster-mates in the draw that stayed with it."""
     x = reference.filter("code >= 0").select("cell_id", F.col("code").alias("r")).join(drawn.select("cell_id", F.col("code").alias("d")), "cell_id")

@@ -696,3 +696,38 @@ def weighted_p_values(spark, sf_dir):
     cal = read_table(spark, sf_dir, "customer").select(*scores("c"))
     test = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cell_id"), *scores("s"))
     return rounded(va.weighted_p_values(cal, test), "p_value")
+
+
+# ladders, anchors, paths
+
+
+@query()
+def ladder_labels(spark, sf_dir):
+    """Parts without a price are labelled by their size alone."""
+    part = read_table(spark, sf_dir, "part").withColumns({"p_size": F.col("p_size").cast("double"), "p_retailprice": F.when(F.col("p_partkey") % 3 > 0, F.col("p_retailprice"))})
+    frame = CellFrame(part, ["p_size", "p_retailprice"], id_col="p_partkey", check=False)
+    codes = part.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("cell_id"), (F.col("p_size") > 25).cast("long").alias("code"))
+    return rounded(tr.propagate_ladder(frame, codes, [["p_size", "p_retailprice"], ["p_size"]], k=10), "confidence")
+
+
+@query("""
+WITH n AS (SELECT n_regionkey AS r, n_nationkey AS c, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+g AS (SELECT r, sum(n) AS n, max(n) / sum(n) AS e, list(c ORDER BY c) FILTER (n >= 3) AS parts, sum(n) FILTER (n >= 3) AS held FROM n GROUP BY r),
+s AS (SELECT * FROM g WHERE len(parts) >= 2 AND held / n >= 0.85 AND e < 0.7)
+SELECT 'split' AS kind, 'split' AS support, [r]::BIGINT[] AS a, parts::BIGINT[] AS b, n::BIGINT AS n_a, held::BIGINT AS n_b, round(e, 6) AS efficiency_ab, 1.0::DOUBLE AS efficiency_ba FROM s
+UNION ALL SELECT 'nested', 'nested', [r]::BIGINT[], [c]::BIGINT[], g.n::BIGINT, n.n::BIGINT, NULL, 1.0 FROM n JOIN g USING (r) WHERE n.n >= 3 AND r NOT IN (SELECT r FROM s)""")
+def bridge_anchors(spark, sf_dir):
+    """Regions against nations: every customer is its own bridge."""
+    nation = F.broadcast(read_table(spark, sf_dir, "nation"))  # 25 rows in any size
+    both = read_table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    a, b = (both.select(F.col("c_custkey").alias("cell_id"), F.col(c).cast("long").alias("code")) for c in ("n_regionkey", "n_nationkey"))
+    votes = a.select(F.col("cell_id").alias("tgt"), F.col("cell_id").alias("src"), F.lit(1.0).alias("w"))
+    sides = [tr.verdicts(tr.carried_purity(votes, x, y), tr.carried_purity(votes, x, x), small=1) for x, y in ((a, b), (b, a))]
+    ab = tr.mutual_verdicts(sides[0], sides[1], tr.carried_mass(votes, a, b))
+    ba = tr.mutual_verdicts(sides[1], sides[0], tr.carried_mass(votes, b, a))
+    return rounded(tr.anchors(ab, ba), "efficiency_ab", "efficiency_ba")
+
+
+@query()
+def path_recovery(spark, sf_dir):
+    return va.path_recovery(kn.distance_weights(edges(spark, sf_dir)), vectors(spark, sf_dir), k=5, max_sources=200)

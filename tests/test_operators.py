@@ -260,3 +260,60 @@ def test_outliers_score_highest(spark):
     assert found == {r["cell_id"]: r["outlier_score"] for r in ot.outlier_score(rows).collect()}
     assert ot.outlier_score(rows.filter("cell_id < 0")).count() == 0
     assert ot.outlier_score(labelled(spark, np.zeros((5, 2)), [0] * 5)).distinct().count() == 5
+
+
+def test_paths_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    n = 40
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, n - 2, (70, 2)) if a != b}  # the last two reach nothing
+    weights = {p: float(w) for p, w in zip(sorted(pairs), rng.choice([0.25, 0.5, 1.0], len(pairs)), strict=True)}
+    codes = rng.integers(-1, 3, n)
+    codes[-2:] = 0, 1
+    graph = spark.createDataFrame([(*p, w) for p, w in weights.items()], "a long, b long, weight double")
+    truth = spark.createDataFrame([(i, int(c)) for i, c in enumerate(codes)], "cell_id long, code long")
+    for cost, price in (("neg_log", lambda w: round(-np.log(w) / np.log(2))), ("complement", lambda w: 1 - w)):
+        d = np.full((n, n), np.inf)
+        for (a, b), w in weights.items():
+            d[a, b] = d[b, a] = price(w)
+        np.fill_diagonal(d, 0)
+        for m in range(n):
+            d = np.minimum(d, d[:, m, None] + d[None, m])
+        ends = np.flatnonzero(codes >= 0)
+        want = {}
+        for i in ends:
+            near = [j for j in sorted(ends, key=lambda j: (d[i, j], j)) if j != i and np.isfinite(d[i, j])][:4]
+            want[int(i)] = int(np.bincount(codes[near]).argmax()) if near else -1
+        found = {r["cell_id"]: r["predicted"] for r in va.path_recovery(graph, truth, k=4, cost=cost).collect()}
+        assert found.keys() == want.keys() and want[n - 1] == want[n - 2] == found[n - 1] == found[n - 2] == -1
+        if cost == "complement":  # sums of quarters are exact, so ties go by id; sums of logarithms may break them
+            assert found == want
+        else:
+            assert sum(found[i] == want[i] for i in want) >= 0.9 * len(want)
+    assert va.path_recovery(graph, truth, k=4, max_sources=5).count() == 5
+    with pytest.raises(ValueError):
+        va.path_recovery(graph, truth.filter("code < 0"))
+
+
+def test_ladder_by_hand(spark):
+    nan = float("nan")
+    rows = [(0, 0.0, 0.0), (1, 0.1, 0.2), (2, 9.0, 9.0), (3, 9.1, 9.2), (4, 0.05, 0.1), (5, 9.05, None), (6, 0.05, nan), (7, None, 9.0)]
+    f = CellFrame(spark.createDataFrame(rows, "cell_id long, m0 double, m1 double"), ["m0", "m1"], rule=ScalerRule(base="standard"))
+    codes = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1)], "cell_id long, code long")
+    for pca in (None, 0.95):
+        got = {r["cell_id"]: (r["code"], r["rung"]) for r in tr.propagate_ladder(f, codes, [["m0", "m1"], ["m0"]], k=2, pca=pca).collect()}
+        assert got == {0: (0, 0), 1: (0, 0), 2: (1, 0), 3: (1, 0), 4: (0, 0), 5: (1, 1), 6: (0, 1), 7: (-1, -1)}
+    with pytest.raises(ValueError):
+        tr.propagate_ladder(f, codes.filter("cell_id = 0"), [["m0"]])
+
+
+def test_splits_and_anchors_by_hand(spark):
+    # cluster 0 falls into 10 and 11, cluster 1 is 12, cluster 2 lies within 13, whose cells are mostly of no cluster here
+    a = [0] * 40 + [1] * 30 + [2] * 20 + [3] * 60
+    b = [10] * 20 + [11] * 20 + [12] * 30 + [13] * 80
+    x, y = (spark.createDataFrame(list(enumerate(c)), "cell_id long, code long") for c in (a, b))
+    votes = x.select(F.col("cell_id").alias("tgt"), F.col("cell_id").alias("src"), F.lit(1.0).alias("w"))
+    ab, ba = (tr.verdicts(tr.carried_purity(votes, s, t), tr.carried_purity(votes, s, s)) for s, t in ((x, y), (y, x)))
+    two, owt = tr.mutual_verdicts(ab, ba, tr.carried_mass(votes, x, y)), tr.mutual_verdicts(ba, ab, tr.carried_mass(votes, y, x))
+    assert {r["cluster"]: r["verdict"] for r in two.collect()} == {0: "split", 1: "reproduces", 2: "nested", 3: "weak"}
+    found = sorted((r["kind"], r["support"], tuple(r["a"]), tuple(r["b"]), r["n_a"], r["n_b"]) for r in tr.anchors(two, owt).collect())
+    assert found == [("nested", "nested", (2,), (13,), 20, 80), ("one-to-one", "reproduces", (1,), (12,), 30, 30), ("one-to-one", "weak", (3,), (13,), 60, 80), ("split", "split", (0,), (10, 11), 40, 40)]
