@@ -195,13 +195,16 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         bodies.mapInArrow(_candidates(window, phrase), "sha string, oid long, n long, z binary, w array<long>, v array<int>"), "candidates"
     )
     each = found.select("sha", "oid", F.explode(F.arrays_zip("w", "v")).alias("x")).select("sha", "oid", F.col("x.w").alias("w"), F.col("x.v").alias("v"))
-    earliest = each.groupBy("w", "v").agg(F.min("oid").alias("lo"))
+    drop_staged(phrases)
+    # staged, so that both sides of the join come from a shuffle and frequent windows can be split (AQE does not split below an aggregation)
+    span = each.groupBy("w", "v").agg(F.min("oid").alias("lo"), F.max("oid").alias("hi")).filter("lo < hi")
+    earliest = staged(span.select("w", "v", "lo"), "earliest")
     later = each.join(earliest, ["w", "v"]).filter("oid > lo").groupBy("sha").agg(F.collect_set("w").alias("gone"))
     changed = staged(
         found.select("sha", "z").join(later, "sha").select("sha", "z", "gone").mapInArrow(_removal(window), "sha string, n_removed long, kept_sha256 string, kept_text string"),
         "changed",
     )
-    drop_staged(phrases, found)
+    drop_staged(found, earliest)
     kept = changed if texts else changed.drop("kept_text")
     by_words = groups.drop("copies").withColumnRenamed("oid", "first_oid").join(kept, "sha", "left")
     out = rows.select("oid", "sha", "n", *(["z"] if texts else [])).join(by_words, "sha")
