@@ -80,16 +80,18 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(window: int, phrase: int):
-    schema = pa.schema([("oid", pa.int64()), ("sha", pa.string()), ("n", pa.int64()), ("z", pa.binary()), ("anchors", pa.list_(pa.int64()))])
+    schema = pa.schema([("oid", pa.int64()), ("key", pa.binary()), ("sha", pa.string()), ("n", pa.int64()), ("z", pa.binary()), ("anchors", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for some in pieces(batches):
-            sha, n, z, found = [], [], [], []
+            key, sha, n, z, found = [], [], [], [], []
             for text in some.column(1).to_pylist():
                 words = (text or "").encode().split()
                 joined = b" ".join(words)
-                sha.append(hashlib.sha256(joined).hexdigest())
+                digest = hashlib.sha256(joined)
+                key.append(digest.digest()[:16])
+                sha.append(digest.hexdigest())
                 n.append(len(words))
                 z.append(packer.compress(joined))
                 if len(words) < window:
@@ -98,7 +100,7 @@ def _first_pass(window: int, phrase: int):
                     hashes = word_hashes(words)
                     found.append(np.unique(_signed(run_hashes(hashes, phrase, BASES[0])[anchors(hashes, window, phrase)])))
             ids = [_LAST if x is None else x for x in some.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((ids, sha, n, z, found), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((ids, key, sha, n, z, found), schema, strict=True)], schema=schema)
 
     return run
 
@@ -121,7 +123,7 @@ def locate(shard: list[list[bytes]], recurring: list[np.ndarray], phrase: int) -
 
 
 def _candidates(window: int, phrase: int):
-    schema = pa.schema([("sha", pa.string()), ("oid", pa.int64()), ("n", pa.int64()), ("z", pa.binary()), ("w", pa.list_(pa.int64())), ("v", pa.list_(pa.int32()))])
+    schema = pa.schema([("key", pa.binary()), ("oid", pa.int64()), ("n", pa.int64()), ("z", pa.binary()), ("w", pa.list_(pa.int64())), ("v", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zstandard.ZstdDecompressor()
@@ -141,7 +143,7 @@ def _candidates(window: int, phrase: int):
                 hashes = word_hashes(words)
                 first.append(_signed(run_hashes(hashes, window, BASES[0]))[near])
                 second.append((run_hashes(hashes, window, BASES[1])[near] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            kept = [columns[c] for c in ("sha", "oid", "n", "z")]
+            kept = [columns[c] for c in ("key", "oid", "n", "z")]
             lists = [pa.array(x, type=schema.field(c).type) for c, x in (("w", first), ("v", second))]
             yield pa.RecordBatch.from_arrays([*kept, *lists], schema=schema)
 
@@ -149,7 +151,7 @@ def _candidates(window: int, phrase: int):
 
 
 def _removal(window: int):
-    schema = pa.schema([("sha", pa.string()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+    schema = pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zstandard.ZstdDecompressor()
@@ -178,36 +180,36 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A word goes when a window of `window` words that covers it also starts in a document with a smaller id, in the
     input as it came. A null text has no words. A null id is later than all ids, and rows that repeat an id are no
     earlier documents to each other. Texts shorter than a window lose nothing. An empty table gives no rows.
-    Windows are compared by 96 bits of hash.
+    Windows are compared by 96 bits of hash, whole texts by 128.
     """
     table = slim(df, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = "oid long, sha string, n long, z binary, anchors array<long>"
+    first = "oid long, key binary, sha string, n long, z binary, anchors array<long>"
     rows = staged(table.mapInArrow(_first_pass(window, phrase), first), "words")
 
-    groups = rows.groupBy("sha").agg(F.min("oid").alias("oid"), F.count(F.lit(1)).alias("copies"))
+    groups = rows.groupBy("key").agg(F.min("oid").alias("oid"), F.count(F.lit(1)).alias("copies"))
     # any row of a group has its words; the one whose id is least speaks for it
-    single = rows.filter(F.size("anchors") > 0).select("sha", "oid", "anchors").join(groups.select("sha", "oid"), ["sha", "oid"]).dropDuplicates(["sha"])
-    phrases = staged(single.select("sha", "oid", F.explode("anchors").alias("a")), "phrases")
+    single = rows.filter(F.size("anchors") > 0).select("key", "oid", "anchors").join(groups.select("key", "oid"), ["key", "oid"]).dropDuplicates(["key"])
+    phrases = staged(single.select("key", "oid", F.explode("anchors").alias("a")), "phrases")
     recurring = phrases.groupBy("a").agg(F.min("oid").alias("lo"), F.max("oid").alias("hi")).filter("lo < hi").select("a")
-    wanted = phrases.join(recurring, "a").groupBy("sha", "oid").agg(F.collect_list("a").alias("recurring"))
-    bodies = rows.select("sha", "oid", "n", "z").join(wanted, ["sha", "oid"]).dropDuplicates(["sha"])
+    wanted = phrases.join(recurring, "a").groupBy("key", "oid").agg(F.collect_list("a").alias("recurring"))
+    bodies = rows.select("key", "oid", "n", "z").join(wanted, ["key", "oid"]).dropDuplicates(["key"])
     found = staged(
-        bodies.mapInArrow(_candidates(window, phrase), "sha string, oid long, n long, z binary, w array<long>, v array<int>"), "candidates"
+        bodies.mapInArrow(_candidates(window, phrase), "key binary, oid long, n long, z binary, w array<long>, v array<int>"), "candidates"
     )
-    each = found.select("sha", "oid", F.explode(F.arrays_zip("w", "v")).alias("x")).select("sha", "oid", F.col("x.w").alias("w"), F.col("x.v").alias("v"))
+    each = found.select("key", "oid", F.explode(F.arrays_zip("w", "v")).alias("x")).select("key", "oid", F.col("x.w").alias("w"), F.col("x.v").alias("v"))
     drop_staged(phrases)
     # staged, so that both sides of the join come from a shuffle and frequent windows can be split (AQE does not split below an aggregation)
     span = each.groupBy("w", "v").agg(F.min("oid").alias("lo"), F.max("oid").alias("hi")).filter("lo < hi")
     earliest = staged(span.select("w", "v", "lo"), "earliest")
-    later = each.join(earliest, ["w", "v"]).filter("oid > lo").groupBy("sha").agg(F.collect_set("w").alias("gone"))
+    later = each.join(earliest, ["w", "v"]).filter("oid > lo").groupBy("key").agg(F.collect_set("w").alias("gone"))
     changed = staged(
-        found.select("sha", "z").join(later, "sha").select("sha", "z", "gone").mapInArrow(_removal(window), "sha string, n_removed long, kept_sha256 string, kept_text string"),
+        found.select("key", "z").join(later, "key").select("key", "z", "gone").mapInArrow(_removal(window), "key binary, n_removed long, kept_sha256 string, kept_text string"),
         "changed",
     )
     drop_staged(found, earliest)
     kept = changed if texts else changed.drop("kept_text")
-    by_words = groups.drop("copies").withColumnRenamed("oid", "first_oid").join(kept, "sha", "left")
-    out = rows.select("oid", "sha", "n", *(["z"] if texts else [])).join(by_words, "sha")
+    by_words = groups.drop("copies").withColumnRenamed("oid", "first_oid").join(kept, "key", "left")
+    out = rows.select("oid", "key", "sha", "n", *(["z"] if texts else [])).join(by_words, "key")
     copy = (F.col("oid") > F.col("first_oid")) & (F.col("n") >= window)
     columns = [
         F.when(F.col("oid") != _LAST, F.col("oid")).alias("doc_id"),
