@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -162,6 +163,62 @@ def class_scores(train: DataFrame, rows: DataFrame, vec_col: str = "features", l
     return out.select("cell_id", F.col("class_id").cast("long").alias("class_id"), (1 - F.col("prob")).alias("score"))
 
 
+def density_ratio_weights(calibration: DataFrame, target: DataFrame, covariates: list[str]) -> DataFrame:
+    """(cell_id, target, weight): odds of being a target row, by a logistic regression on the covariates with unit ridge."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    vec = array_to_vector(F.array(*[F.col(c).cast("double") for c in covariates])).alias("__v")
+    both = calibration.select("cell_id", vec, F.lit(0.0).alias("__y")).unionByName(target.select("cell_id", vec, F.lit(1.0).alias("__y")))
+    ridge = 1 / max(both.count(), 1)  # the loss is a mean, so that the penalty is one over all rows
+    model = LogisticRegression(featuresCol="__v", labelCol="__y", maxIter=1000, regParam=ridge, standardization=False).fit(both)
+    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), vector_to_array("probability")[1]))
+    return model.transform(both).select("cell_id", (F.col("__y") == 1).alias("target"), (p / (1 - p)).alias("weight"))
+
+
+def crossfit_assessment(rows: DataFrame, *, folds: int = 5, mondrian: bool = True, seed: int = 0) -> DataFrame:
+    """(cell_id, class_id, p_value) of (cell_id, features, code) for all rows and classes; code -1 has no label.
+
+    Labelled rows are dealt into folds by a hash of their id. A labelled row is scored by the model that held its fold
+    out and ranked against all other calibration rows; a row without label is scored by every fold's model, each
+    judged by that fold's calibration rows. mondrian ranks within the class, otherwise against all classes.
+    """
+    x = rows.select("cell_id", "features", "code", F.pmod(F.xxhash64("cell_id", F.lit(seed)), F.lit(folds)).alias("fold"))
+    classes = sorted(r["code"] for r in x.filter("code >= 0").select("code").distinct().collect())  # one entry a class
+    if len(classes) < 2:
+        raise ValueError("an assessment needs two classes")
+    parts = []
+    for j in range(folds):
+        train = x.filter((F.col("code") >= 0) & (F.col("fold") != j))
+        asked = x.filter((F.col("code") < 0) | (F.col("fold") == j))
+        part = class_scores(train, asked, seed=seed).filter(F.col("class_id").isin(classes)).withColumn("fold", F.lit(j))
+        # a forest that saw too few classes gives none of the last ones: they are as unlikely as can be
+        every = asked.select("cell_id", F.explode(F.array(*[F.lit(c).cast("long") for c in classes])).alias("class_id"), F.lit(j).alias("fold"))
+        parts.append(every.join(part, ["cell_id", "class_id", "fold"], "left").fillna(1.0, ["score"]))
+    scores = cut_lineage(reduce(lambda a, b: a.unionByName(b), parts).join(x.select("cell_id", "code"), "cell_id"))
+    own = scores.filter("code = class_id")
+    group = F.array("class_id") if mondrian else F.array(*[F.lit(c).cast("long") for c in classes])
+    cal = own.select(F.explode(group).alias("class_id"), "fold", "score").groupBy("class_id", "fold", "score").agg(F.count(F.lit(1)).alias("n"))
+
+    def above(asked: DataFrame, by: list[str]) -> DataFrame:
+        """Calibration rows whose score is that of the row or higher, counted over distinct scores."""
+        points = cal.groupBy(*by, "score").agg(F.sum("n").alias("n")).unionByName(asked.select(*by, "score").distinct().withColumn("n", F.lit(0).cast("long")))
+        points = points.groupBy(*by, "score").agg(F.sum("n").alias("n"))
+        ranked = points.withColumn("above", F.sum("n").over(Window.partitionBy(*by).orderBy(F.desc("score"))))
+        return asked.join(ranked.drop("n"), [*by, "score"])
+
+    total = cal.groupBy("class_id").agg(F.sum("n").alias("m"))
+    inside = (F.col("code") == F.col("class_id")) if mondrian else F.lit(True)
+    # outside its own class a row's calibration score differs from the score asked for; it counts itself if it is as high
+    itself = own.select("cell_id", F.col("score").alias("own_score"))
+    known = above(scores.filter("code >= 0"), ["class_id"]).join(itself, "cell_id").join(total, "class_id")
+    counted = (inside & (F.col("own_score") >= F.col("score"))).cast("long")
+    known = known.select("cell_id", "class_id", ((F.col("above") - counted + 1) / (F.col("m") - inside.cast("long") + 1)).alias("p_value"))
+    new = above(scores.filter("code < 0"), ["class_id", "fold"]).groupBy("cell_id", "class_id").agg(F.sum("above").alias("above"))
+    new = new.join(total, "class_id").select("cell_id", "class_id", ((F.col("above") + 1) / (F.col("m") + 1)).alias("p_value"))
+    return known.unionByName(new)
+
+
 def by_stratum(scored: DataFrame) -> DataFrame:
     """(stratum, n, accuracy, weight) of (stratum, correct, weight)."""
     return scored.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.sum("weight").alias("weight"))

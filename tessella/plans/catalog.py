@@ -731,3 +731,16 @@ def bridge_anchors(spark, sf_dir):
 @query()
 def path_recovery(spark, sf_dir):
     return va.path_recovery(kn.distance_weights(edges(spark, sf_dir)), vectors(spark, sf_dir), k=5, max_sources=200)
+
+
+@query()
+def density_ratio(spark, sf_dir):
+    """Customers weighted towards the balances of suppliers."""
+    cal, target = (read_table(spark, sf_dir, t).select(F.col(k).alias("cell_id"), (F.col(b) / 1000).alias("balance")) for t, k, b in (("customer", "c_custkey", "c_acctbal"), ("supplier", "s_suppkey", "s_acctbal")))
+    return rounded(va.density_ratio_weights(cal, target, ["balance"]), "weight", digits=4)
+
+
+@query()
+def crossfit_p_values(spark, sf_dir):
+    rows = vectors(spark, sf_dir).withColumn("code", F.when(F.col("cell_id") % 4 > 0, F.col("code") % 2).otherwise(-1))
+    return rounded(va.crossfit_assessment(rows, folds=3), "p_value")

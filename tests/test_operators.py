@@ -317,3 +317,31 @@ def test_splits_and_anchors_by_hand(spark):
     assert {r["cluster"]: r["verdict"] for r in two.collect()} == {0: "split", 1: "reproduces", 2: "nested", 3: "weak"}
     found = sorted((r["kind"], r["support"], tuple(r["a"]), tuple(r["b"]), r["n_a"], r["n_b"]) for r in tr.anchors(two, owt).collect())
     assert found == [("nested", "nested", (2,), (13,), 20, 80), ("one-to-one", "reproduces", (1,), (12,), 30, 30), ("one-to-one", "weak", (3,), (13,), 60, 80), ("split", "split", (0,), (10, 11), 40, 40)]
+
+
+def test_density_ratio_follows_the_shift(spark):
+    rng = np.random.default_rng(4)
+    rows = [spark.createDataFrame([(i, float(v)) for i, v in enumerate(rng.normal(m, 1, 400))], "cell_id long, z double") for m in (0, 1)]
+    found = va.density_ratio_weights(*rows, ["z"]).filter("NOT target").join(rows[0], "cell_id").collect()
+    slope = np.polyfit([r["z"] for r in found], [np.log(r["weight"]) for r in found], 1)[0]
+    assert len(found) == 400 and slope == pytest.approx(1, abs=0.3)  # the odds of N(1, 1) against N(0, 1) are exp(z - 1/2)
+
+
+def test_crossfit_against_counting(spark, monkeypatch):
+    """With scores set by hand, p-values are counted row by row."""
+    codes = [0, 0, 0, 1, 1, 1, 0, 1, -1, -1]
+    rows = spark.createDataFrame([(i, [0.0], c) for i, c in enumerate(codes)], "cell_id long, features array<double>, code long")
+    level = lambda i, c: (3 * i + 5 * c) % 7 / 7
+
+    def scores(train, asked, **_):
+        return asked.select("cell_id", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<long>")).alias("class_id")).withColumn("score", ((3 * F.col("cell_id") + 5 * F.col("class_id")) % 7) / 7)
+
+    monkeypatch.setattr(va, "class_scores", scores)
+    for mondrian in (True, False):
+        found = {(r["cell_id"], r["class_id"]): r["p_value"] for r in va.crossfit_assessment(rows, folds=3, mondrian=mondrian).collect()}
+        want = {}
+        for i in range(10):
+            for c in (0, 1):
+                group = [j for j in range(8) if j != i and (not mondrian or codes[j] == c)]
+                want[i, c] = (sum(level(j, codes[j]) >= level(i, c) for j in group) + 1) / (len(group) + 1)
+        assert found == pytest.approx(want)
