@@ -58,11 +58,11 @@ def binomial_p(a: int, b: int) -> float:
     return min(1.0, 2 * sum(math.exp(log(i)) for i in range(k + 1)) - (math.exp(log(k)) if 2 * k == n else 0))
 
 
-def path_recovery(graph: DataFrame, truth: DataFrame, *, k: int = 15, cost: str = "neg_log", max_sources: int = 2000, seed: int = 0) -> DataFrame:
+def path_recovery(graph: DataFrame, truth: DataFrame, *, k: int = 15, cost: str = "neg_log", max_sources: int | None = 2000, seed: int = 0) -> DataFrame:
     """(cell_id, truth, predicted, correct): labels read off the k labelled cells nearest along a graph (a, b, weight).
 
     Path costs are -ln(weight) or 1 - weight ("complement"), hops where the graph has no weight. Labelled cells beyond
-    max_sources are sampled by a hash; the sample both asks and votes. A cell that reaches no other abstains: -1.
+    max_sources are sampled by a hash; the sample both asks and votes; None takes all. A cell that reaches no other abstains: -1.
     All sources advance together; paths longer than a source's k-th nearest labelled cell so far are given up, which
     loses none of the k nearest, as costs are never negative.
     """
@@ -72,7 +72,7 @@ def path_recovery(graph: DataFrame, truth: DataFrame, *, k: int = 15, cost: str
     n = labelled.count()
     if n < 3:
         raise ValueError("paths need three labelled cells")
-    if n > max_sources:
+    if max_sources is not None and n > max_sources:
         labelled, n = labelled.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(max_sources), max_sources
     labelled = cut_lineage(labelled)
     k = min(k, n - 1)

@@ -730,7 +730,7 @@ def bridge_anchors(spark, sf_dir):
 
 @query()
 def path_recovery(spark, sf_dir):
-    return va.path_recovery(kn.distance_weights(edges(spark, sf_dir)), vectors(spark, sf_dir), k=5, max_sources=200)
+    return va.path_recovery(kn.distance_weights(edges(spark, sf_dir)), vectors(spark, sf_dir), max_sources=None)
 
 
 @query()

@@ -1,5 +1,8 @@
 """Operators against numpy or hand-made answers."""
 
+import heapq
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -19,9 +22,12 @@ from tessella.operators import validate as va
 from tessella.operators.frame import CellFrame
 from tessella.operators.labels import LabelSet
 from tessella.operators.space import FittedSpace, fit_space
+from tessella.plans import catalog
 from tessella.sources import store
 from tessella.streaming.project import projected, table_stream
 
+SF = "/root/testdata/sf0.001"
+
 
 def blobs(n=60, d=3, sep=8.0, seed=0):
     rng = np.random.default_rng(seed)
@@ -345,3 +351,24 @@ def test_crossfit_against_counting(spark, monkeypatch):
                 group = [j for j in range(8) if j != i and (not mondrian or codes[j] == c)]
                 want[i, c] = (sum(level(j, codes[j]) >= level(i, c) for j in group) + 1) / (len(group) + 1)
         assert found == pytest.approx(want)
+
+
+def test_query_path_recovery_asks_with_every_cell(spark):
+    rows = catalog.vectors(spark, SF)
+    code = {r["cell_id"]: r["code"] for r in rows.collect()}
+    near: dict = {}
+    for a, b, w in kn.distance_weights(catalog.edges(spark, SF)).collect():
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, []).append((y, max(-np.log(max(w, 1e-12)), 0.0)))
+    got = {r["cell_id"]: r["predicted"] for r in catalog.queries()["path_recovery"](spark, SF).collect()}
+    assert got.keys() == code.keys()
+    for src in code:
+        d, heap = {}, [(0.0, src)]
+        while heap:
+            at, x = heapq.heappop(heap)
+            if x not in d:
+                d[x] = at
+                for y, c in near.get(x, []):
+                    heapq.heappush(heap, (at + c, y))
+        votes = Counter(code[x] for _, x in sorted((v, x) for x, v in d.items() if x != src)[:15])
+        assert got[src] == min(votes, key=lambda c: (-votes[c], c))
