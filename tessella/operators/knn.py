@@ -13,15 +13,31 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 200 << 20
 
 
+#: Candidates of a query row that are measured at once.
+PORTION = 4096
+
+
+def _best(q: np.ndarray, ids: np.ndarray, ref: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k of these reference rows nearest to q, by (dist, id), measured in portions."""
+    near, dist = np.zeros(0, np.int64), np.zeros(0)
+    for at in range(0, len(rows), PORTION):
+        some = rows[at : at + PORTION]
+        near, dist = np.concatenate((near, some)), np.concatenate((dist, np.sqrt(((ref[some] - q) ** 2).sum(1))))
+        order = np.lexsort((ids[near], dist))[:k]
+        near, dist = near[order], dist[order]
+    return near, dist
+
+
 def _kernel(ids: np.ndarray, ref: np.ndarray, k: int, exclude_self: bool):
     squares = (ref**2).sum(1)
+    unit = 4 * (ref.shape[1] + 8) * np.finfo(np.float64).eps  # rounding of both forms of a squared distance, as a share of the squared norms
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 some = pdf.iloc[at : at + 512]
                 own, q = some["id"].to_numpy(), np.array(some["vec"].tolist(), np.float64).reshape(len(some), -1)
-                d = np.maximum((q**2).sum(1)[:, None] + squares - 2 * q @ ref.T, 0)
+                d = (1 - unit) * ((q**2).sum(1)[:, None] + squares) - 2 * q @ ref.T  # bounds from below
                 if exclude_self:
                     d[own[:, None] == ids] = np.inf
                 take = min(len(ids), k + 8)
@@ -29,7 +45,14 @@ def _kernel(ids: np.ndarray, ref: np.ndarray, k: int, exclude_self: bool):
                 exact = np.sqrt(((ref[near] - q[:, None, :]) ** 2).sum(2))
                 exact[np.isinf(np.take_along_axis(d, near, 1))] = np.inf
                 order = np.lexsort((ids[near], exact), axis=1)[:, :k]
+                cut = np.take_along_axis(d, near, 1).max(1)  # what was left out is no nearer than this
                 near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
+                if take < len(ids):
+                    # The cut loses nothing where the bounds left out pass the k-th distance; elsewhere all rows below it are measured, ties too.
+                    reach = exact[:, -1] ** 2 * (1 + unit)
+                    for r in np.flatnonzero(~(cut > reach)):
+                        found, dist = _best(q[r], ids, ref, np.flatnonzero(np.isfinite(d[r]) & (d[r] <= reach[r])), k)
+                        near[r, : len(found)], exact[r, : len(found)], exact[r, len(found) :] = found, dist, np.inf
                 ok = np.isfinite(exact)
                 rank = np.broadcast_to(np.arange(1, near.shape[1] + 1), near.shape)
                 src = np.broadcast_to(own[:, None], near.shape)

@@ -146,6 +146,22 @@ def test_knn_broadcast_and_blocks_agree(spark):
         assert {(r["src"], r["dst"]) for r in got} == want
 
 
+@pytest.mark.parametrize("case", ["copies", "far"])
+def test_knn_keeps_ties_by_id_and_near_rows_of_large_norm(spark, case):
+    rng = np.random.default_rng(2)
+    if case == "copies":
+        x = np.concatenate((np.ones((300, 4)), rng.normal(5, 1, (20, 4))))
+    else:
+        x = 1e8 + rng.integers(0, 30, (320, 4)).astype(float)  # squared norms of 4e16 are rounded to 8; distances are exact
+    x = x[rng.permutation(len(x))]
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j), n) for i in range(len(x)) for n, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:5], 1)}
+    rows = vec(spark, x)
+    for size in (1 << 20, 4000):
+        assert {(r["src"], r["dst"], r["rank"]) for r in kn.knn(rows, rows, 5, broadcast_bytes=size).collect()} == want
+
+
 def test_vote_by_hand(spark):
     rows = vec(spark, [[float(i)] for i in range(5)])
     codes = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, -1), (4, 1)], "cell_id long, code long")
