@@ -13,6 +13,7 @@ import base64
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -25,17 +26,33 @@ PIECE = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long
 
 
 class ByteEncoder:
-    """Ids of a byte-level BPE vocabulary as little-endian unsigned 32-bit numbers, equal to those of the tokenizers library."""
+    """Ids of a byte-level BPE vocabulary as little-endian unsigned 32-bit numbers, equal to those of the tokenizers library.
 
-    def __init__(self, ranks_path: str, pattern: str, end_id: int):
+    tiktoken refuses white space of over a million characters in a row; such a text goes through that library itself.
+    """
+
+    def __init__(self, ranks_path: str, pattern: str, end_id: int, library_path: str):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={END: end_id})
+        self.library_path, self.library = library_path, None
 
     def __call__(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes() if text else b""
+        if not text:
+            return b""
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+        except ValueError:
+            return self._by_library(text)
+
+    def _by_library(self, text: str) -> bytes:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.library_path)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 class Packer:
@@ -171,7 +188,7 @@ def pack(
 def byte_encoder() -> ByteEncoder:
     import public_tokenizers
 
-    return ByteEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+    return ByteEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -408,3 +408,13 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert set(out["doc_id"]) <= rows.keys() and (out.groupby("sequence_id")["length"].sum() <= 1024).all()
     assert isinstance(out, pd.DataFrame)
+
+
+@pytest.mark.parametrize("text", [" " * 1_001_000 + "x", "a" + "\n \t" * 400_000 + "b <|endoftext|> c"])
+def test_packing_takes_long_white_space(spark, text):
+    t = library("byte_bpe_50k.json")
+    df = spark.createDataFrame([(1, text), (2, "a short one")], "doc_id long, text string")
+    lengths = {r[0]: (r[1], r[2]) for r in packing.pack(df, packing.byte_encoder).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).select("doc_id", "sum(length)", "max(doc_tokens)").collect()}
+    for i, x in df.collect():
+        ids = t.encode(x, add_special_tokens=False).ids
+        assert packing.byte_encoder()(x) == np.array(ids, "<u4").tobytes() and lengths[i] == (len(ids) + 1,) * 2
