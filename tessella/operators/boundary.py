@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,11 +64,10 @@ def dip_p(dip: float, n: int, points: int = 300) -> float:
     return float(1 - np.searchsorted(null, dip * np.sqrt(n), side="left") / len(null))
 
 
-def pair_dips(rows: DataFrame, pairs: DataFrame, points: int = 1000) -> DataFrame:
+def pair_dips(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """(cluster_a, cluster_b, dip, dip_p) of both clusters' rows on the line through their centres; none where the centres agree.
 
-    Of a pair's sorted projections evenly spaced ones are read, over half of `points` and at most as many (all, up to
-    that number), so that the dip is within 2/points of its value and what one task gathers is bounded.
+    The dip is that of all projections of a pair; one task holds them, as numbers.
     """
     each = rows.select("code", F.posexplode("features").alias("at", "x")).groupBy("code", "at").agg(F.avg("x").alias("x"))
     centres = each.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("c")).select("code", F.col("c.x").alias("c"))
@@ -81,18 +81,13 @@ def pair_dips(rows: DataFrame, pairs: DataFrame, points: int = 1000) -> DataFram
         .select("cluster_a", "cluster_b", F.transform("axis", lambda x: x / F.col("norm")).alias("axis"), F.explode(F.array("cluster_a", "cluster_b")).alias("code"))
     )
     on = rows.join(lines, "code").select("cluster_a", "cluster_b", F.aggregate(F.zip_with("features", "axis", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("v"))
-    pair = Window.partitionBy("cluster_a", "cluster_b")
-    sizes = on.groupBy("cluster_a", "cluster_b").agg(F.count(F.lit(1)).alias("n"))
-    ranked = on.withColumn("k", F.row_number().over(pair.orderBy("v")) - 1).join(sizes, ["cluster_a", "cluster_b"])
-    read = ranked.filter(F.col("k") % F.ceil(F.col("n") / points) == 0)
-    some = read.groupBy("cluster_a", "cluster_b", "n").agg(F.collect_list("v").alias("values"))
-
-    @F.udf("struct<dip:double,dip_p:double>")  # one row a pair of clusters
-    def dips(values, n):
-        dip = float(dip_statistic(np.array(values)))
-        return dip, dip_p(dip, n)
-
-    return some.select("cluster_a", "cluster_b", dips("values", "n").alias("d")).select("cluster_a", "cluster_b", "d.dip", "d.dip_p")
+
+    def dips(pdf: pd.DataFrame) -> pd.DataFrame:  # one row a pair of clusters
+        dip = float(dip_statistic(pdf["v"].to_numpy()))
+        return pd.DataFrame({"cluster_a": pdf["cluster_a"].iloc[:1], "cluster_b": pdf["cluster_b"].iloc[:1], "dip": dip, "dip_p": dip_p(dip, len(pdf))})
+
+    kinds = [f"{c} {on.schema[c].dataType.simpleString()}" for c in ("cluster_a", "cluster_b")]
+    return on.groupBy("cluster_a", "cluster_b").applyInPandas(dips, f"{', '.join(kinds)}, dip double, dip_p double")
 
 
 def boundary_report(

@@ -254,8 +254,17 @@ def dip_statistic(values: np.ndarray) -> float:
 
 
 def _hull(x: np.ndarray, y: np.ndarray, lo: int, hi: int, sign: int) -> np.ndarray:
+    rest = np.arange(lo, hi + 1)
+    while len(rest) > 2:  # what lies on or beyond the chord of its neighbours is no corner; most rows go so, all at once
+        u, v = x[rest].astype(np.float64), y[rest].astype(np.float64)
+        keep = np.ones(len(rest), bool)
+        keep[1:-1] = sign * ((v[1:-1] - v[:-2]) * (u[2:] - u[:-2]) - (v[2:] - v[:-2]) * (u[1:-1] - u[:-2])) < 0
+        gone = len(rest) - int(keep.sum())
+        rest = rest[keep]
+        if gone < len(rest) / 8:
+            break
     out: list[int] = []
-    for k in range(lo, hi + 1):
+    for k in rest.tolist():
         while len(out) > 1 and sign * ((y[out[-1]] - y[out[-2]]) * (x[k] - x[out[-2]]) - (y[k] - y[out[-2]]) * (x[out[-1]] - x[out[-2]])) >= 0:
             out.pop()
         out.append(k)

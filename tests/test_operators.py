@@ -388,3 +388,14 @@ def test_query_path_recovery_asks_with_every_cell(spark):
                     heapq.heappush(heap, (at + c, y))
         votes = Counter(code[x] for _, x in sorted((v, x) for x, v in d.items() if x != src)[:15])
         assert got[src] == min(votes, key=lambda c: (-votes[c], c))
+
+
+def test_dip_is_that_of_all_projections(spark):
+    x = np.random.default_rng(4).normal(size=3001)
+    rows = spark.createDataFrame([(i, [float(v)], int(v > 0)) for i, v in enumerate(x)], "cell_id long, features array<double>, code long")
+    pairs = spark.createDataFrame([(0, 1)], "cluster_a long, cluster_b long")
+    assert bd.pair_dips(rows, pairs).first()["dip"] == pytest.approx(va.dip_statistic(x), rel=1e-9)
+    n = 1_000_000  # an even row of values has one mode at any size
+    rows = spark.range(n).select(F.col("id").alias("cell_id"), F.array(F.col("id") / n).alias("features"), (F.col("id") * 2 >= n).cast("long").alias("code"))
+    r = bd.pair_dips(rows, pairs).first()
+    assert r["dip"] < 1e-5 and r["dip_p"] > 0.5
