@@ -622,7 +622,7 @@ def confidence_curve(spark, sf_dir):
 def spread_labels(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     seeds = rows.select("cell_id", F.when(F.col("cell_id") % 5 == 0, F.col("code")).otherwise(-1).alias("code"))
-    return rounded(tr.spread(tr.transition(edges(spark, sf_dir), mutual=False), seeds, most=5), "confidence")
+    return rounded(tr.spread(tr.transition(edges(spark, sf_dir), mutual=False), seeds), "confidence")
 
 
 # spaces and gradients

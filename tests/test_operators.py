@@ -399,3 +399,28 @@ def test_dip_is_that_of_all_projections(spark):
     rows = spark.range(n).select(F.col("id").alias("cell_id"), F.array(F.col("id") / n).alias("features"), (F.col("id") * 2 >= n).cast("long").alias("code"))
     r = bd.pair_dips(rows, pairs).first()
     assert r["dip"] < 1e-5 and r["dip_p"] > 0.5
+
+
+def test_query_spread_labels_settles(spark):
+    codes = {r["cell_id"]: r["code"] for r in catalog.vectors(spark, SF).collect()}
+    ids = sorted(codes)
+    at = {c: k for k, c in enumerate(ids)}
+    e = catalog.edges(spark, SF).toPandas()
+    step = np.zeros((len(ids), len(ids)))
+    step[e["src"].map(at), e["dst"].map(at)] = 1 / (e["dist"] + 1e-3 * e["dist"][e["dist"] > 0].median())
+    step /= step.sum(1, keepdims=True)
+    seeded = np.array([c % 5 == 0 for c in ids])
+    given = np.zeros((len(ids), 10))
+    given[seeded, [codes[c] for c in ids if c % 5 == 0]] = 1
+    field = given
+    for _ in range(100):
+        new = np.where(seeded[:, None], given, step @ field)
+        change, field = np.abs(new - field).max(), new
+        if change < 1e-6:
+            break
+    support = step @ field
+    want = np.where(seeded, given.argmax(1), support.argmax(1))
+    sure = support[np.arange(len(ids)), want] / support.sum(1)
+    got = {r["cell_id"]: (r["code"], r["confidence"]) for r in catalog.queries()["spread_labels"](spark, SF).collect()}
+    assert [got[c][0] for c in ids] == want.tolist()
+    assert [got[c][1] for c in ids] == pytest.approx(sure, abs=2e-6)
