@@ -424,3 +424,32 @@ def test_query_spread_labels_settles(spark):
     got = {r["cell_id"]: (r["code"], r["confidence"]) for r in catalog.queries()["spread_labels"](spark, SF).collect()}
     assert [got[c][0] for c in ids] == want.tolist()
     assert [got[c][1] for c in ids] == pytest.approx(sure, abs=2e-6)
+
+
+def test_query_consensus_plateaus_by_brute_force(spark):
+    users = sorted({r[0] for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id").collect()})
+    labels = np.array([[-1 if u % 17 == k else u % m for m, k in catalog.RUNS] for u in users])
+    n = len(users)
+    d = np.ones((n, n))
+    for i in range(n):
+        for j in range(n):
+            both = (labels[i] >= 0) & (labels[j] >= 0)
+            d[i, j] = 1 - ((labels[i] == labels[j]) & both).sum() / both.sum() if both.any() else 1.0
+    similarity = 1 - d
+    np.fill_diagonal(similarity, 1.0)
+    merges = cs.linkage(similarity)
+    groups = {i: [i] for i in range(n)}
+    for k, (a, b, h, size) in enumerate(merges):  # each merge is of a nearest pair of groups, whichever of the tied ones
+        means = {(i, j): d[np.ix_(groups[i], groups[j])].mean() for i in groups for j in groups if i < j}
+        assert h == pytest.approx(means[int(a), int(b)]) and h == pytest.approx(min(means.values()))
+        groups[n + k] = groups.pop(int(a)) + groups.pop(int(b))
+        assert len(groups[n + k]) == size
+    heights = merges[:, 2]
+    want: list = []
+    for t in range(101):
+        c = n - sum(h <= t / 100 for h in heights)
+        if not want or want[-1][0] != c:
+            want.append([c, t / 100, t / 100, 0])
+        want[-1][2:] = t / 100, want[-1][3] + 1
+    got = catalog.queries()["consensus_plateaus"](spark, SF).select("n_clusters", "lo", "hi", "n_points").orderBy("lo").collect()
+    assert [tuple(r) for r in got] == [tuple(w) for w in want if w[0] > 1]
