@@ -655,7 +655,7 @@ def pca_coordinates(spark, sf_dir):
 
 @query()
 def principal_curve(spark, sf_dir):
-    return gr.principal_curve(vectors(spark, sf_dir), samples=50, rounds=5)[1]
+    return gr.principal_curve(vectors(spark, sf_dir))[1]
 
 
 @query("""WITH q AS (SELECT quantile_cont(l_extendedprice, [0.25, 0.5, 0.75]) AS q FROM lineitem)

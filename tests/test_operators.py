@@ -453,3 +453,9 @@ def test_query_consensus_plateaus_by_brute_force(spark):
         want[-1][2:] = t / 100, want[-1][3] + 1
     got = catalog.queries()["consensus_plateaus"](spark, SF).select("n_clusters", "lo", "hi", "n_points").orderBy("lo").collect()
     assert [tuple(r) for r in got] == [tuple(w) for w in want if w[0] > 1]
+
+
+def test_query_principal_curve_uses_the_defaults(spark):
+    got = {r["cell_id"]: r["coord"] for r in catalog.queries()["principal_curve"](spark, SF).collect()}
+    want = {r["cell_id"]: r["coord"] for r in gr.principal_curve(catalog.vectors(spark, SF))[1].collect()}
+    assert got == pytest.approx(want, abs=1e-6) and len(set(got.values())) > 50
