@@ -151,14 +151,28 @@ class _Nfa:
         return frozenset(seen)
 
 
+def _backwards(node):
+    """The node that matches the same texts read from their end."""
+    if node[0] == "set":
+        return node
+    if node[0] == "rep":
+        return ("rep", _backwards(node[1]), *node[2:])
+    parts = [_backwards(x) for x in node[1]]
+    return (node[0], parts[::-1] if node[0] == "seq" else parts)
+
+
 class Dfa:
     """next[state * classes + kind[byte]]; state 0 is the start; accepts[state] has the bits of the rules that end there."""
 
-    def __init__(self, patterns: list[tuple[str, bool]], *, search: bool):
-        """patterns: (expression, ignore case). search: a match may begin anywhere; else at the start only."""
+    def __init__(self, patterns: list[tuple[str, bool]], *, search: bool, backwards: bool = False):
+        """patterns: (expression, ignore case). search: a match may begin anywhere; else at the start only.
+
+        backwards: bytes are read from the end, so that a rule ends where one of its matches begins.
+        """
         nfa = _Nfa()
         start = nfa.state()
-        final = [nfa.add(_Parser(p, i).parse(), nfa._fork(start)) for p, i in patterns]
+        nodes = [_Parser(p, i).parse() for p, i in patterns]
+        final = [nfa.add(_backwards(x) if backwards else x, nfa._fork(start)) for x in nodes]
         sets = {s for edges in nfa.edges for s, _ in edges}
         kinds: dict[tuple, int] = {}
         kind = [kinds.setdefault(tuple(b in s for s in sets), len(kinds)) for b in range(256)]
@@ -203,9 +217,10 @@ def _minimal(table: np.ndarray, accept: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rank[block[table[first[order]]]], accept[first[order]]
 
 
-def run_states(dfa: Dfa, data: np.ndarray, lanes: int = 2048) -> np.ndarray:
+def run_states(dfa: Dfa, data: np.ndarray, lanes: int = 2048, rounds: int = 4) -> np.ndarray:
     """The state after each byte, by all lanes at once: the bytes are cut into lanes that start in the start state;
-    a lane whose true first state is another one is run again, until all agree with the lane before."""
+    a lane whose true first state is another one is run again, until all agree with the lane before. What a few
+    rounds leave open (a state that outlasts whole lanes) is walked once from left to right: time stays linear."""
     n = len(data)
     lanes = max(1, min(lanes, n // 64))
     width = -(-n // lanes)
@@ -229,11 +244,24 @@ def run_states(dfa: Dfa, data: np.ndarray, lanes: int = 2048) -> np.ndarray:
 
     first = np.zeros(lanes, np.int32)
     go(np.arange(lanes), first)
-    while True:
+    for _ in range(rounds):
         true = np.concatenate(([0], out[-1, :-1]))
         wrong = np.flatnonzero(true != first)
         if not len(wrong):
             break
         first[wrong] = true[wrong]
         go(wrong, first[wrong])
+    else:
+        table = flat.tolist()
+        for lane in range(1, lanes):
+            state = int(out[-1, lane - 1])
+            if state == first[lane]:
+                continue
+            walked = []
+            for kind, old in zip(kinds[:, lane].tolist(), out[:, lane].tolist(), strict=True):
+                state = table[state + kind]
+                if state == old:
+                    break
+                walked.append(state)
+            out[: len(walked), lane] = walked
     return out.T.reshape(-1)[:n] // dfa.classes

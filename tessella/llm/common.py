@@ -97,6 +97,18 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256, chars: int = 1 <<
             yield batch.slice(at, step)
 
 
+def runs(texts: list[str], rows: int = 256, chars: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:
+    """Runs of few texts of bounded length in all (a longer text is a run of its own), each with its first place."""
+    at, total = 0, 0
+    for k, text in enumerate(texts):
+        if k > at and (k - at == rows or total + len(text) > chars):
+            yield at, texts[at:k]
+            at, total = k, 0
+        total += len(text)
+    if at < len(texts):
+        yield at, texts[at:]
+
+
 def map_texts(df: DataFrame, function: Callable[[list, list[str]], dict[str, list]], schema: str) -> DataFrame:
     """Apply function(ids, texts) -> columns to small batches of (doc_id, text); null texts come as empty ones."""
     from pyspark.sql.pandas.types import to_arrow_schema

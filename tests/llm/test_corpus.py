@@ -133,6 +133,25 @@ def test_secret_scans(spark, docs, nothing):
     assert clean[16].startswith("[ASSIGN] [ACCESS] [HEX] password") and clean[9] is None and secrets.masked(docs).columns == docs.columns
 
 
+MORE_KINDS = {
+    "pem": re.compile("-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    "github": re.compile("gh[oprsu]_[A-Za-z0-9]+"),
+}
+
+
+def test_all_kinds_against_the_expressions():
+    scanner, rng = secrets.default_scanner(), np.random.default_rng(8)
+    parts = ["secret", "token", "api_key", "APIKEY", "passwd", ":", "=", " ", "'", '"', "abcdef", "0f" * 13, "AKIA", "X" * 17, "\n", "é", "-----BEGIN ", "RSA "]
+    parts += ["PRIVATE KEY-----", "eyJ", ".", "abc_-" * 8, "ghp_", "a1" * 19, "-", "0f"]
+    texts_ = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(600)]
+    for text, spans in zip(texts_, scanner.scan(texts_), strict=True):
+        assert [f"{scanner.rules[k].kind}:{s}:{e}" for s, k, e in spans if scanner.rules[k].base] == brute_secrets(text)
+        for k, rule in enumerate(scanner.rules):
+            if not rule.base:
+                assert [(m.start(), m.end()) for m in MORE_KINDS[rule.kind].finditer(text) if len(m[0]) >= rule.least] == [(s, e) for s, j, e in spans if j == k]
+
+
 def test_lanes_agree_with_one_walk():
     scanner = secrets.default_scanner()
     data = ("token=" + "0f" * 300 + " AKIA" + "X" * 500 + "\n") * 20
@@ -140,6 +159,8 @@ def test_lanes_agree_with_one_walk():
     from tessella.llm.automaton import run_states
 
     assert (run_states(scanner.all, raw, 1) == run_states(scanner.all, raw, 97)).all()
+    lasting = np.frombuffer(b"secret" + b" " * 9000 + b"x secret" + b" " * 9000, np.uint8)  # one state outlasts most lanes
+    assert (run_states(scanner.all, lasting, 1) == run_states(scanner.all, lasting, 97)).all()
     hard = ["secret: token: abcdefgh", "token: token=abcdefgh", "passwordpassword: abcdefghi token=secret=token=passwd:x", "AKIA" * 9, "0" * 23 + " " + "a" * 24 + "g"]
     for text, spans in zip(hard, scanner.scan(hard), strict=True):
         assert [f"{scanner.rules[k].kind}:{s}:{e}" for s, k, e in spans if scanner.rules[k].base] == brute_secrets(text)
@@ -418,3 +439,29 @@ def test_packing_takes_long_white_space(spark, text):
     for i, x in df.collect():
         ids = t.encode(x, add_special_tokens=False).ids
         assert packing.byte_encoder()(x) == np.array(ids, "<u4").tobytes() and lengths[i] == (len(ids) + 1,) * 2
+
+
+LONG = [" " * 2_000_000, "x" * 2_000_000, "secret: token: " + "z" * 2_000_000, "secret: token: " * 130_000, "é0f" * 600_000, "secret" + " " * 2_000_000, "word " * 400_000]
+
+
+def test_long_texts(spark):
+    """Texts of about two million characters: every operator and every stage gives a row for each, within seconds."""
+    scanner = secrets.default_scanner()
+    for text, spans in zip(LONG, (scanner.scan([x])[0] for x in LONG), strict=True):
+        assert [f"{scanner.rules[k].kind}:{s}:{e}" for s, k, e in spans if scanner.rules[k].base] == brute_secrets(text)
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(LONG)], "doc_id long, text string").repartition(4)
+    t, own = library("byte_bpe_50k.json"), packing.byte_encoder()
+    assert all(own(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in LONG)
+    t = library("word_bpe_49k.json")
+    got = {r["doc_id"]: r["ids_sha256"] for r in chunked_bpe.encode_decode(df, chunked_bpe.word_encoder).collect()}
+    assert got == {k: sha(" ".join(map(str, t.encode(x, add_special_tokens=False).ids))) for k, x in enumerate(LONG)}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(df).collect()}
+    assert got == {k: (len(x.split()), 0) for k, x in enumerate(LONG)}
+    got = {r["doc_id"]: r["n_words"] for r in quality.quality(df).collect()}
+    assert got == {k: len(x.split()) for k, x in enumerate(LONG)}
+    assert len(token_counts.token_counts(df, token_counts.piece_counter).collect()) == len(LONG)
+    assert len(simhash.simhash_components(df).collect()) == len(LONG) == len(exact_dedup.exact_dedup(df).collect())
+    assert len(chat.chat_messages(df.selectExpr("doc_id conv_id", "0 turn", "'user' role", "text")).collect()) == len(LONG)
+    field = toxicity.fitted(df, spark.createDataFrame([(5, 0, 0), (6, 0, 0)], "doc_id long, quality int, toxic int"))
+    assert len(toxicity.toxicity(df, field).collect()) == len(LONG)
+    assert packing.pack(secrets.masked(simhash.keep_one(exact_dedup.keep_first(df))), packing.byte_encoder).select("doc_id").distinct().count() >= 3
