@@ -42,17 +42,18 @@ class UnigramCounter:
         """Pieces of the best path through BLANK + unit."""
         text = BLANK + unit
         n = len(text)
-        ends: list[list] = [[] for _ in range(n + 1)]
-        for end, piece in self.automaton.iter(text):  # at one end the longest comes first
-            ends[end + 1].append(piece)
         score, count, lost = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        matches = self.automaton.iter(text)  # by end; at one end the longest comes first
+        at, piece = next(matches, (n, None))
         for end in range(1, n + 1):
             best, found, single = None, 0, False
-            for length, value in ends[end]:
+            while at == end - 1:
+                length, value = piece
                 now = value + score[end - length]
                 if best is None or now > best:
                     best, found = now, count[end - length] + 1
                 single |= length == 1
+                at, piece = next(matches, (n, None))
             if not single:
                 now = self.unknown + score[end - 1]
                 if best is None or now > best:
@@ -76,7 +77,11 @@ class UnigramCounter:
 
 
 def token_counts(df: DataFrame, counter: Callable[[], UnigramCounter], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row of df: doc_id, n_tokens. A null or empty text has none; null ids and repeated rows are counted like others."""
+    """One row a row of df: doc_id, n_tokens.
+
+    A null or empty text has none; null ids and repeated rows are counted like others; an empty table gives no rows.
+    Very long texts are counted whole: a stretch without blanks holds three numbers a character, no list of matches.
+    """
     kind = df.schema[id_col].dataType.simpleString()
     held: list[UnigramCounter] = []
 

@@ -208,7 +208,14 @@ def test_token_counts(spark, docs, nothing):
         counter = token_counts.UnigramCounter(vocabulary, byte_fallback=fallback)
         for _, x in [*pairs(docs), (0, " a  b "), (0, "▁ x"), (0, "日本 \U0001f600\U0001f600")]:
             assert counter.count(x) == len(t.encode(x, add_special_tokens=False).ids)
-    assert token_counts.token_counts(docs, token_counts.piece_counter).count() == docs.count()
+    rows = pairs(docs)
+    want = [(i, len(t.encode(x, add_special_tokens=False).ids)) for i, x in rows]
+    got = token_counts.token_counts(docs, lambda: token_counts.UnigramCounter(vocabulary, byte_fallback=False))
+    assert bag(tuple(r) for r in got.collect()) == bag(want)
+    t = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    want = [(r["doc_id"], len(t.encode(r["text"] or "", add_special_tokens=False).ids)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert bag(tuple(r) for r in token_counts.op6_token_counts(spark, SF).collect()) == bag(want)
     assert token_counts.token_counts(nothing, token_counts.piece_counter).count() == 0
 
 
