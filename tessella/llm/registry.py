@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         secrets.op2_secret_scans,
         chunked_bpe.op3_bpe_round_trip,
         chat.op4_chat_formatting,
+        chat.chat_tool_calls,
         exact_dedup.op5_exact_dedup,
         token_counts.op6_token_counts,
         packing.op7_packing,
@@ -29,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     sql = {
         "op4_chat_formatting": chat.OP4_SQL,
+        "chat_tool_calls": chat.CALLS_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
         "op8_quality_rules": quality.OP8_SQL,
         "pipeline": corpus_pipeline.ORACLE_SQL,

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, with nulls, empty texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import json
 import os
 import re
 import zlib
@@ -264,6 +265,7 @@ def test_chat(spark):
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("call_turn", F.lit(1))
     got = [r.asDict() for r in chat.chat_messages(df).orderBy("conv_id", "order_turn", "order_step", "turn").collect()]
+    assert [r["n_valid"] for r in got if r["n_calls"]] == [1]
     one = [r for r in got if r["conv_id"] == 1]
     assert [(r["turn"], r["link"]) for r in one] == [(0, "none"), (3, "call"), (1, "linked"), (4, "linked"), (5, "orphan")]
     assert one[1]["n_calls"] == 2 and one[1]["n_valid"] == 1
@@ -276,6 +278,55 @@ def test_chat(spark):
     assert chat.chat_messages(df.limit(0)).count() == 0
 
 
+def test_chat_keeps_types_and_fields(spark):
+    rows = [
+        (1, 0, "tool", '{"tool_call_id": 5, "content":"123", "name": "x", "score": 1.5}'),
+        (1, 1, "tool", '{"tool_call_id": "5", "content":"true"}'),
+        (1, 2, "assistant", '{"tool_calls":["junk", {"id":5,"name":"fetch","arguments":"{\\"url\\":\\"u\\"}"}, null], "content":"{\\"b\\":1}", "tool_call_id":"a"}'),
+        (1, 9, "assistant", '{"tool_calls":[{"id":"a","name":"nope","arguments":{}}],"content":null}'),
+        (2, 0, "user", '{"content":"no tool field"}'),
+        (3, 0, "a", '{"tool_call_id":"x","tool_calls":[{"id":"y"}]}'), (3, 1, "b", '{"tool_call_id":"y","tool_calls":[{"id":"x"}]}'),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in chat.chat_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 0]["message"] == '{"content":"123","name":"x","role":"tool","score":1.5,"tool_call_id":5}' and got[1, 0]["link"] == "linked"
+    assert got[1, 1]["message"] == '{"content":"true","role":"tool","tool_call_id":"5"}' and got[1, 1]["link"] == "orphan"
+    assert got[1, 2]["message"] == (
+        '{"content":"{\\"b\\":1}","role":"assistant","tool_call_id":"a","tool_calls":["junk",{"arguments":"{\\"url\\":\\"u\\"}","id":5,"name":"fetch"},null]}'
+    )
+    assert (got[1, 2]["link"], got[1, 2]["n_calls"], got[1, 2]["n_valid"]) == ("call+linked", 1, 1) and got[1, 9]["n_valid"] == 0
+    # the call at turn 2 answers the one at turn 9, and the result at turn 0 answers the call at turn 2
+    assert [(got[1, t]["order_turn"], got[1, t]["order_step"]) for t in (9, 2, 0)] == [(9, 0), (9, 1), (9, 2)]
+    assert got[2, 0]["message"] == '{"content":"{\\"content\\":\\"no tool field\\"}","role":"user"}'
+    assert {r["link"] for k, r in got.items() if k[0] == 3} == {"call+linked"}  # a cycle
+
+
+def test_chat_links_against_brute_force(spark):
+    rng, rows = np.random.default_rng(3), []
+    for k in range(400):
+        conv, turn = (1 if rng.random() < 0.4 else int(rng.integers(2, 9))), int(rng.integers(0, 60))
+        body = {}
+        if rng.random() < 0.5:
+            body["tool_calls"] = [{"id": f"k{i}", "name": "fetch", "arguments": {"url": "u"}} for i in rng.integers(0, 40, rng.integers(1, 4)).tolist()]
+        if not body:
+            body["tool_call_id"] = f"k{rng.integers(0, 40)}"
+        rows.append((conv, turn, "r", json.dumps(body)))
+    first = {}
+    for conv, turn, _, text in rows:
+        for call in json.loads(text).get("tool_calls", []):
+            key = (conv, call["id"])
+            first[key] = min(first.get(key, turn), turn)
+    want = []
+    for conv, turn, _, text in rows:
+        body = json.loads(text)
+        made = first.get((conv, body.get("tool_call_id")))
+        link = "call" if "tool_calls" in body else "orphan" if made is None else "linked"
+        late = made is not None and made >= turn
+        want.append((conv, turn, made if late else turn, int(late), link, json.dumps(body | {"role": "r"}, sort_keys=True, separators=(",", ":"))))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = [(r["conv_id"], r["turn"], r["order_turn"], r["order_step"], r["link"], r["message"]) for r in chat.chat_messages(df).collect()]
+    assert bag(got) == bag(want)
+
+
 # op5
 
 
@@ -472,3 +523,18 @@ def test_long_texts(spark):
     field = toxicity.fitted(df, spark.createDataFrame([(5, 0, 0), (6, 0, 0)], "doc_id long, quality int, toxic int"))
     assert len(toxicity.toxicity(df, field).collect()) == len(LONG)
     assert packing.pack(secrets.masked(simhash.keep_one(exact_dedup.keep_first(df))), packing.byte_encoder).select("doc_id").distinct().count() >= 3
+
+
+@pytest.mark.parametrize("name", ["op4_chat_formatting", "chat_tool_calls", "op5_exact_dedup", "op8_quality_rules"])
+def test_equals_sql(spark, name):
+    import duckdb
+
+    from tessella.llm import registry
+
+    duck = duckdb.connect()
+    for table in ("documents", "conversations"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    found = duck.execute(registry.oracle_sql()[name])
+    columns = [x[0] for x in found.description]
+    df = registry.queries()[name](spark, SF)
+    assert sorted(columns) == sorted(df.columns) and bag(tuple(r) for r in df.select(columns).collect()) == bag(found.fetchall())
