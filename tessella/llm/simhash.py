@@ -1,21 +1,22 @@
 """SimHash near-deduplication by a self-join of a binary trie.
 
-Fingerprints are 64-bit majorities over shingle hashes. Two of them link at few differing bits. Each distinct
-fingerprint goes, once for each of `links + 1` blocks, into the trie that starts with that block: of any linked pair
-at least one block is equal, so each block's tries can be joined with themselves apart from each other. A trie is
-never built: sorted fingerprints are its leaves, a node is a range of them. The join walks pairs of nodes together,
+Fingerprints are 64-bit majorities over shingle hashes. Two of them link at few differing bits. The bits are cut into
+`budget + 2` blocks, and each distinct fingerprint goes, once for each pair of blocks, into the trie that starts with
+those two: of any linked pair at least two blocks are equal, so each pair's tries can be joined with themselves apart
+from each other. A trie is never built: sorted fingerprints are its leaves, a node is a range of them. The join walks pairs of nodes together,
 adds up differing bits, and drops a pair once the error budget is exceeded.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import documents, drop_staged, inner, located, map_texts, restored, slim, staged
@@ -161,10 +162,12 @@ def _block_links(widest: int, budget: int, portion: int = 100_000):
     def links(keys: np.ndarray, rot: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         leaves = rot.view(np.uint64)
         cut = np.append(np.append(0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(rot))
-        for bits in np.unique(keys[cut[:-1], 4]).tolist():
+        shared = np.flatnonzero(np.diff(cut) > 1)  # most tries have one leaf
+        begin, end = cut[shared], cut[shared + 1]
+        for bits in np.unique(keys[begin, 4]).tolist():
             roots = []
-            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if keys[lo, 4] != bits or hi - lo < 2:
+            for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
+                if keys[lo, 4] != bits:
                     continue
                 child_a, child_b = int(keys[lo, 2]), int(keys[lo, 3])
                 if child_a == child_b:
@@ -206,39 +209,44 @@ def _block_links(widest: int, budget: int, portion: int = 100_000):
 def near_components(fps: DataFrame, budget: int = 4, largest: int = 50_000) -> DataFrame:
     """(fp, root) for each distinct fp that links with another: the components under `budget` differing bits.
 
-    The 64 bits are cut into budget + 1 blocks. A trie of over `largest` leaves is split further: its fingerprints
-    go, by their next few bits, to one task for each child node within the budget, so that no task holds more than
-    about two such children, whatever the size of a group. There are at most (budget + 1) * 2**width tries, so the
-    table of split ones that is broadcast has that bound.
+    The 64 bits are cut into budget + 2 blocks, of which a linked pair has two equal: 15 tries of 20 leading bits for
+    a budget of 4, so 5 billion fingerprints make tries of 5000 leaves, and the copies of a fingerprint do not grow
+    with the table. Only a trie of over `largest` leaves (fingerprints that crowd together) is split further: its
+    fingerprints go, by their next few bits, to one task for each child node within the budget, so that no task holds
+    more than about two such children, whatever the size of a group.
     """
-    spark = fps.sparkSession
-    count = budget + 1
+    count = budget + 2
     width = 64 // count
-    offsets = [i * width for i in range(count)]
+    lows = [64 - width * (k + 1) for k in range(count)]
     distinct = fps.select("fp").distinct()
 
-    def turned(offset: int):
-        return F.col("fp") if offset == 0 else F.shiftleft("fp", offset).bitwiseOR(F.shiftrightunsigned("fp", 64 - offset))
-
-    keyed = distinct.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(r).alias("r"), turned(o).alias("rot")) for r, o in enumerate(offsets)])).alias("x")
-    ).select("fp", F.col("x.r").alias("r"), F.col("x.rot").alias("rot"), F.shiftrightunsigned("x.rot", 64 - width).alias("block"))
-    keyed = staged(keyed, "tries")
-    over = keyed.groupBy("r", "block").count().filter(F.col("count") > largest).collect()  # at most count * 2**width rows
-    sizes = [(x["r"], x["block"], min(12, max(1, (x["count"] // largest).bit_length()))) for x in over]
-    if sizes:
-        split = spark.createDataFrame(sizes, "r int, block long, bits int")
-        rows = keyed.join(F.broadcast(split), ["r", "block"], "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
-        child = F.expr(f"shiftrightunsigned(rot, {64 - width} - bits) & (shiftleft(1L, bits) - 1)")
+    def first(i: int, j: int) -> Column:
+        """The bits of fp with blocks i and j in front."""
+        fields = [(lows[i], width), (lows[j], width), *((lows[k], width) for k in range(count) if k not in (i, j)), (0, 64 - width * count)]
+        out, at = F.lit(0).cast("long"), 64
+        for low, bits in fields:
+            at -= bits
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", low).bitwiseAND((1 << bits) - 1), at))
+        return out
+
+    pairs = list(itertools.combinations(range(count), 2))
+    lead = 2 * width
+    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(r).alias("r"), first(i, j).alias("rot")) for r, (i, j) in enumerate(pairs)])).alias("x"))
+    keyed = staged(keyed.select("fp", F.col("x.r").alias("r"), F.col("x.rot").alias("rot"), F.shiftrightunsigned("x.rot", 64 - lead).alias("block")), "tries")
+    bits = F.least(F.lit(12), F.greatest(F.lit(1), F.length(F.bin(F.floor(F.col("count") / largest))))).alias("bits")
+    split = staged(keyed.groupBy("r", "block").count().filter(F.col("count") > largest).select("r", "block", bits), "crowded")
+    if not split.isEmpty():
+        rows = keyed.join(split, ["r", "block"], "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
+        child = F.expr(f"shiftrightunsigned(rot, {64 - lead} - bits) & (shiftleft(1L, bits) - 1)")
         masks = F.expr(f"filter(sequence(0L, shiftleft(1L, bits) - 1), m -> bit_count(m) <= {budget})")
         rows = rows.withColumn("child", child).withColumn("mask", F.explode(masks)).withColumn("other", F.col("child").bitwiseXOR(F.col("mask")))
         rows = rows.select("r", "block", F.least("child", "other").alias("lo"), F.greatest("child", "other").alias("hi"), "bits", "rot", "fp")
     else:
         rows = keyed.select("r", "block", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).alias("bits"), "rot", "fp")
     parted = rows.repartition("r", "block", "lo", "hi").sortWithinPartitions("r", "block", "lo", "hi", "bits", "rot")
-    edges = staged(parted.mapInArrow(_block_links(width, budget), "a long, b long"), "links")
+    edges = staged(parted.mapInArrow(_block_links(lead, budget), "a long, b long"), "links")
     found = components(edges)
-    drop_staged(keyed, edges)
+    drop_staged(keyed, edges, split)
     return found.select(F.col("node").alias("fp"), F.col("root"))
 
 
@@ -247,7 +255,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A null text counts as empty; texts without words have fingerprint zero and link like any other. Repeated rows
     and equal fingerprints meet as one fingerprint. A null id takes part but is never a component's id, unless
-    the component has no other. An empty table gives no rows.
+    the component has no other. An empty table gives no rows. Very long texts are read whole, 65,536 shingles at a time.
     """
     fps = staged(fingerprints(df, id_col, text_col, words), "fingerprints")
     return _with_components(fps, budget, largest)
@@ -263,7 +271,10 @@ def _with_components(fps: DataFrame, budget: int, largest: int) -> DataFrame:
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, budget: int = 4) -> DataFrame:
-    """df with one row of each group of near copies: the one with the smallest id, the first of repeated rows."""
+    """df with one row of each group of near copies: the one with the smallest id, the first of repeated rows.
+
+    Null and empty texts are one group; null ids come last; an empty table stays empty; all columns stay.
+    """
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
