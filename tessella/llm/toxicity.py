@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import documents, map_texts, quoted, slim
+from tessella.llm.common import documents, map_texts, quoted, runs, slim
 from tessella.llm.units import Cache
 
 BUCKETS = 1 << 18
@@ -252,8 +252,9 @@ def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str
         .limit(most)
     )
     rows = df.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text")).filter(F.length("text") <= longest)
-    found = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").limit(2 * most).toPandas()
-    found = found.drop_duplicates("doc_id").sort_values("doc_id", key=lambda s: [zlib.crc32(str(x).encode()) for x in s])
+    # an id that repeats gives one text, always the same: at most `most` rows come to the driver
+    found = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toPandas()
+    found = found.sort_values("doc_id", key=lambda s: [zlib.crc32(str(x).encode()) for x in s])
     return found["text"].tolist(), found["toxic"].astype(int).clip(0, 1).tolist()
 
 
@@ -292,8 +293,11 @@ def toxicity(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
 
 
 def keep_clean(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """df without the rows that the field predicts toxic, all columns as they were."""
+    """df without the rows that the field predicts toxic, all columns as they were.
 
+    Null and empty texts have the score of no evidence and, by a field that learnt of clean rows, stay; null ids and
+    repeated rows are judged like others; an empty table stays empty. Very long texts are read whole.
+    """
     sent = df.sparkSession.sparkContext.broadcast(field)
     held: list[Cache] = []
 
@@ -303,8 +307,8 @@ def keep_clean(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame
         if not held:
             held.append(Cache(lambda w: field.emission(w.decode())))
         out = []
-        for at in range(0, len(texts), 256):
-            raw = [(x or "").encode().split() for x in texts.iloc[at : at + 256]]
+        for _, some in runs([x or "" for x in texts]):
+            raw = [x.encode().split() for x in some]
             evidence = np.array([_evidence(x) for x in _by_text(field, raw, held[0].__getitem__)]).reshape(-1, 2)
             out.append(1 / (1 + np.exp(-np.clip(evidence @ field.curve[1:] + field.curve[0], -30, 30))))
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
