@@ -1,20 +1,23 @@
 """Quality rules as a short-circuit cascade.
 
 Every rule has a measure and a bound. On a sample the measures are timed and their rejections counted; rules run in
-the order of rejections per second, so that most rejected documents cost little. The order changes costs only: a
-document is kept when it passes all rules.
+the order of rejections per second, so that most rejected documents cost little. A measure is taken when a rule first
+asks for it: documents that a rule before rejects never pay for it. Only the five base measures, which the result
+holds, are taken of all. The order changes costs only: a document is kept when it passes all rules.
 """
 
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACES, documents, map_texts, slim
+from tessella.llm.common import SPACES, documents, map_texts, quoted, slim
 
 SYMBOLS = "#*$%&|<>"
 
@@ -64,9 +67,37 @@ class Measures:
             covered[k : n - 2 + k] |= twice
         return int(covered.sum())
 
+    def take_base(self) -> "Measures":
+        for name in BASE:
+            getattr(self, name)
+        return self
+
+    def taken(self) -> set[str]:
+        """Names of the measures taken so far."""
+        return set(self._known)
+
     def _n_upper(self) -> int:
-        return sum(map(str.isupper, self.text))
+        return len(_UPPER.findall(self.text))
+
+    def _n_digits(self) -> int:
+        return len(_DIGIT.findall(self.text))
+
+    def _n_lettered(self) -> int:
+        return sum(_LETTER.search(w.decode()) is not None for w in self.words)
+
+    def _n_ellipses(self) -> int:
+        return sum(x.rstrip(SPACES).endswith(("...", "…")) for x in self.lines)
+
+    def _n_bullets(self) -> int:
+        return sum(x.lstrip(SPACES)[0] in "-*•" for x in self.lines)
 
+    def _top_pair(self) -> int:
+        """How often the most frequent pair of neighbouring words occurs."""
+        return max(Counter(zip(self.words, self.words[1:], strict=False)).values(), default=0)
+
+
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_UPPER, _DIGIT, _LETTER = (regex.compile(rf"\p{{{x}}}") for x in ("Lu", "Nd", "L"))
 
 #: (name, does the text fail?). Bounds are far from what clean prose shows.
 RULES: tuple[tuple[str, Callable[[Measures], bool]], ...] = (
@@ -74,24 +105,35 @@ RULES: tuple[tuple[str, Callable[[Measures], bool]], ...] = (
     ("dup_lines", lambda m: 2 * m.n_dup_lines > len(m.lines)),
     ("word_length", lambda m: not 2 * m.n_words <= m.word_chars <= 20 * m.n_words),
     ("upper_case", lambda m: 10 * m.n_upper > 4 * m.word_chars),
-    ("repeats", lambda m: 100 * m.n_repeat_words > 50 * m.n_words),
+    ("digits", lambda m: 10 * m.n_digits > 3 * m.word_chars),
+    ("lettered", lambda m: 2 * m.n_lettered < m.n_words),
+    ("ellipses", lambda m: 10 * m.n_ellipses > 3 * len(m.lines)),
+    ("bullets", lambda m: 10 * m.n_bullets > 9 * len(m.lines)),
+    ("top_pair", lambda m: 5 * m.top_pair > m.n_words - 1),
 )
 
 
 def ordered(rules, texts: list[str]) -> list[int]:
-    """Indexes of the rules by rejections per second on a sample of texts, most first; ties keep the given order."""
+    """Indexes of the rules by rejections per second on a sample of texts, most first; ties keep the given order.
+
+    A rule is timed on texts whose base measures are known, as in the cascade.
+    """
     value = []
     for k, (_, fails) in enumerate(rules):
-        fresh = [Measures(x) for x in texts]
+        fresh = [Measures(x).take_base() for x in texts]
         began = time.perf_counter()
         rejected = sum(fails(m) for m in fresh)
         value.append((-rejected / max(time.perf_counter() - began, 1e-9), k))
     return [k for _, k in sorted(value)]
 
 
-def cascade_order(df: DataFrame, text_col: str = "text", rules=RULES, sample: int = 500) -> list[int]:
-    """The cascade's order from at most `sample` rows of df. It decides cost, not results, so a few rows will do."""
-    rows = df.select(F.col(text_col).cast("string").alias("t")).filter("length(t) > 0").limit(sample).toLocalIterator()
+def cascade_order(df: DataFrame, text_col: str = "text", rules=RULES, sample: int = 500, longest: int = 20_000) -> list[int]:
+    """The cascade's order from the `sample` texts of least hash among those of up to `longest` characters.
+
+    It decides cost, not results, so a bounded sample will do.
+    """
+    text = quoted(text_col).cast("string").alias("t")
+    rows = df.select(text).filter(F.length("t").between(1, longest)).orderBy(F.xxhash64("t")).limit(sample).toLocalIterator()
     return ordered(rules, [x["t"] for x in rows])
 
 
@@ -100,7 +142,7 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ru
 
     base_failed: fewer than 50 words, or over half the words in repeated three-word windows. Such a document is
     rejected without asking a rule. A null text is empty and fails; null ids and repeated rows are judged like
-    others; an empty table gives no rows.
+    others; an empty table gives no rows. Very long texts are read whole, every word and line of them.
     """
     kind = df.schema[id_col].dataType.simpleString()
     table = slim(df, id_col, text_col)
@@ -109,13 +151,13 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ru
     def run(ids: list, texts: list[str]) -> dict[str, list]:
         measures = [Measures(x) for x in texts]
         out: dict[str, list] = {"doc_id": ids}
-        for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
+        for name in BASE:
             out[name] = [getattr(m, name) for m in measures]
         out["base_failed"] = [m.n_words < 50 or 100 * m.n_repeat_words > 50 * m.n_words for m in measures]
         out["kept"] = [not bad and not any(rules[k][1](m) for k in order) for m, bad in zip(measures, out["base_failed"], strict=True)]
         return out
 
-    counts = ", ".join(f"{x} long" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    counts = ", ".join(f"{x} long" for x in BASE)
     return map_texts(table, run, f"doc_id {kind}, {counts}, base_failed boolean, kept boolean")
 
 
@@ -137,17 +179,25 @@ WITH d AS (
   SELECT doc_id, i FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
 ), c AS (
   SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) AS o(k) GROUP BY doc_id
+), p AS (
+  SELECT doc_id, max(k) AS top_pair
+  FROM (SELECT doc_id, g, count(*) AS k FROM (SELECT doc_id, words[i] || ' ' || words[i + 1] AS g
+        FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM w WHERE len(words) >= 2)) GROUP BY doc_id, g) GROUP BY doc_id
 ), m AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper
-  FROM w LEFT JOIN c ON w.doc_id = c.doc_id
+         length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\p{Nd}]', '', 'g')) AS n_digits,
+         len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS n_lettered,
+         len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipses,
+         len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullets, coalesce(top_pair, 0) AS top_pair
+  FROM w LEFT JOIN c ON w.doc_id = c.doc_id LEFT JOIN p ON w.doc_id = p.doc_id
 ), f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words
-         OR word_chars > 20 * n_words OR 10 * n_upper > 4 * word_chars) AS kept
+         OR word_chars > 20 * n_words OR 10 * n_upper > 4 * word_chars OR 10 * n_digits > 3 * word_chars OR 2 * n_lettered < n_words
+         OR 10 * n_ellipses > 3 * n_lines OR 10 * n_bullets > 9 * n_lines OR 5 * top_pair > n_words - 1) AS kept
 FROM f
 """

@@ -370,11 +370,23 @@ def test_quality(spark, docs, nothing):
         want.append((i, n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), n < 50 or 100 * len(covered) > 50 * n))
     got = quality.quality(docs).collect()
     assert bag(tuple(r)[:7] for r in got) == bag(want)
-    other = quality.quality(docs, order=[4, 3, 2, 1, 0]).collect()
+    other = quality.quality(docs, order=[8, 7, 6, 5, 4, 3, 2, 1, 0]).collect()
     assert bag(tuple(r) for r in got) == bag(tuple(r) for r in other)
     kept = {r["doc_id"]: r["kept"] for r in got}
     assert kept[18] and not kept[20] and not kept[19]
     assert quality.quality(nothing).count() == 0
+    # short circuit: a text that the first rule rejects never takes the measures of the others
+    m = quality.Measures("ONE %%% two " * 60).take_base()
+    assert any(fails(m) for _, fails in quality.RULES) and m.taken() == set(quality.BASE) - {"n_words"} | {"lines"}
+    clean = quality.Measures(" ".join(f"word{'abcdefghij'[k % 10]}{'klmnop'[k % 6]}{k}" for k in range(90))).take_base()
+    assert not any(fails(clean) for _, fails in quality.RULES) and {"n_upper", "n_digits", "n_lettered", "n_ellipses", "n_bullets", "top_pair"} <= clean.taken()
+    words = [f"{'abcdefghij'[k % 10]}{'klmnopq'[k % 7]}{'rstuvwx'[k % 11 % 7]}" for k in range(70)]
+    for name, text in (
+        ("upper_case", " ".join(words).upper()), ("digits", " ".join(f"{w}{k * 7919}" for k, w in enumerate(words))), ("lettered", " ".join(f"+{k:x}+" if k % 3 == 0 else "+" * (2 + k % 5) + "-" * (k % 3) for k, _ in enumerate(words))),
+        ("ellipses", "...\n".join(" ".join(words[k : k + 7]) for k in range(0, 70, 7))), ("bullets", "\n".join("- " + " ".join(words[k : k + 7]) for k in range(0, 70, 7))),
+        ("top_pair", " ".join(f"{w} one two" if k % 2 else w for k, w in enumerate(words))),
+    ):
+        assert dict(quality.RULES)[name](quality.Measures(text)), name
     slow = ("slow", lambda m: sum(range(20_000)) < 0)
     assert quality.ordered([slow, quality.RULES[0]], ["% %"] * 20) == [1, 0]
 
