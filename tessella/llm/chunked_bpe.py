@@ -1,29 +1,33 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
-A rolling hash over a document's bytes picks some of its blanks as chunk ends, so that a passage that many
-documents share is cut alike in all of them. A chunk is encoded once and remembered, in bounded memory, by the
-worker that meets it; documents are joined from their chunks. At each joint a window of a few words on both sides is
-encoded again; if its ids are not those of its two halves, the window grows until they agree from its edges on, and
-a document that never agrees is encoded whole.
+A rolling hash over a document's bytes picks some of its blanks as chunk ends, so that a passage that many documents
+share is cut alike in all of them. Chunks are counted over the whole table by their digests. Each that occurs twice or
+more is encoded once, in the document of least place that has it, and its ids go to all others by a join; a chunk
+that occurs once is encoded where it stands. Documents are put together from their chunks. At each joint the words on
+both sides are encoded together; if that does not give the ids of its two halves, a growing window around the joint is
+encoded again until two windows in a row give exactly the same ids, or until it holds both chunks.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm.common import documents, map_texts, slim
+from tessella.llm.common import documents, inner, located, pieces, staged
 from tessella.llm.units import Cache
 
 #: Fixed random multipliers of the rolling hash, one a byte value.
 GEAR = np.random.default_rng(20240917).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
-def chunk_ends(data: bytes, bits: int = 8) -> np.ndarray:
+def chunk_ends(data: bytes, bits: int = 6) -> np.ndarray:
     """Places of the blanks that end a chunk: those where the hash of the 16 bytes before has `bits` zero bits."""
     codes = np.frombuffer(data, np.uint8)
     h = GEAR[codes]
@@ -32,35 +36,39 @@ def chunk_ends(data: bytes, bits: int = 8) -> np.ndarray:
     return np.flatnonzero((codes == 32) & (h >> np.uint32(32 - bits) == 0))
 
 
+def chunks(data: bytes, bits: int = 6, blanks_apart: bool = True) -> list[bytes]:
+    """data cut at its chunk ends. The blank at a cut belongs to no chunk where the tokenizer drops it, else to the next one."""
+    out, at = [], 0
+    for end in chunk_ends(data, bits).tolist():
+        out.append(data[at:end])
+        at = end + blanks_apart
+    return [*out, data[at:]]
+
+
 class ChunkEncoder:
     """ids and decoded text of whole texts, exactly as the tokenizer gives them.
 
-    words_apart says that the tokenizer drops white space and never joins across it; then the inside of a chunk
-    met for the first time is put together from single words, which are remembered too. Joints are checked either way.
-    A chunk is kept from its second use on: most chunks are met once.
+    words_apart says that the tokenizer drops white space and never joins across it; then the inside of a chunk is
+    put together from single words, which are remembered. Joints are checked either way.
     """
 
-    def __init__(self, path: str, *, words_apart: bool = True, bits: int = 8, words: int = 200_000, chunks: int = 20_000):
+    def __init__(self, path: str, *, words_apart: bool = True, bits: int = 6, words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words_apart, self.bits, self.most_chunks = words_apart, bits, chunks
+        self.words_apart, self.bits = words_apart, bits
         self.model = self.tokenizer.model
         steps = str(self.tokenizer.normalizer) + str(self.tokenizer.pre_tokenizer)
         self.lower_only = words_apart and "Lowercase()" in steps and "ByteLevel(" in steps and "[\\p{L}]+" in steps.replace("\\\\", "\\")
         self.words = Cache(self._plain, words)
         self.joints = Cache(self._joint, words // 8)
-        self.met: set[int] = set()
-        self.chunks: dict[bytes, tuple[int, bytes]] = {}
+        self.repairs = 0
         self.tokens = None
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _word(self, word: bytes) -> bytes:
-        return np.array(self._ids(word.decode()), np.uint32).tobytes()
+    def _ids(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
 
     def _plain(self, word: bytes) -> bytes:
         """Ids of one word; the model alone is asked where the steps before it can only lower-case a run of letters."""
@@ -70,81 +78,83 @@ class ChunkEncoder:
             if body is not word:
                 ids += [x.id for x in self.model.tokenize(word[-1:].decode())]
             return np.array(ids, np.uint32).tobytes()
-        return self._word(word)
-
-    def _joint(self, both: bytes) -> bool:
-        """Do two neighbouring words give the same ids together as apart?"""
-        left, right = both.split(b"\0", 1)
-        return self._word(left + b" " + right) == self._word(left) + self._word(b" " + right if not self.words_apart else right)
-
-    def _chunk(self, chunk: bytes) -> bytes:
-        key = xxhash.xxh3_64_intdigest(chunk)
-        if key in self.met:
-            found = self.chunks.get(chunk)
-            if found is not None:
-                return found
+        return self._ids(word)
+
+    def _joint(self, both: tuple[bytes, bytes]) -> bool:
+        """Do the ends of two neighbouring chunks give the same ids together as apart?"""
+        left, right = both
+        return self._ids(self._glue(left, right)) == self._ids(left) + self._ids(right)
+
+    def _glue(self, left: bytes, right: bytes) -> bytes:
+        return left + b" " + right if self.words_apart else left + right
+
+    def _ends(self, left: bytes, right: bytes) -> tuple[bytes, bytes]:
+        """The last word of left and the first of right, with all white space between them."""
+        if not self.words_apart:  # any white space of Unicode counts
+            left, right = left.decode(), right.decode()
+        tail, head = left.rstrip(), right.lstrip()
+        first = head.split(None, 1)[0] if head else head
+        words = tail.rsplit(None, 1)
+        ends = left[len(tail) - len(words[-1]) :] if words else left, right[: len(right) - len(head) + len(first)]
+        return ends if self.words_apart else (ends[0].encode(), ends[1].encode())
+
+    def _has_word(self, part: bytes) -> bool:
+        return bool(part.strip() if self.words_apart else part.decode().strip())
+
+    def chunk(self, chunk: bytes) -> bytes:
+        """Ids of a chunk, as little-endian unsigned 32-bit numbers."""
         if self.words_apart:
             words = self.words
-            ids = b"".join([words[w] for w in chunk.replace(b"\n", b" ").split(b" ")])
-        else:
-            ids = self._word(chunk)
-        if key in self.met:
-            if len(self.chunks) >= self.most_chunks:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
-        else:
-            if len(self.met) >= 8 * self.most_chunks:
-                self.met.clear()
-            self.met.add(key)
-        return ids
-
-    def _repaired(self, data: bytes, left: int, cut: int, right: int) -> tuple[int, bytes, int] | None:
-        """Ids of the window around a cut at which chunks disagree: (bytes of ids to drop on the left, ids, on the right)."""
-        reach = 16
+            return b"".join([words[w] for w in chunk.replace(b"\n", b" ").split(b" ")])
+        return self._ids(chunk)
+
+    def _repaired(self, left: bytes, a: bytes, right: bytes, b: bytes) -> bytes:
+        """Ids of left and right joined, from ids a of left and b of right.
+
+        A window reaches from a single blank between words to another one. It counts only if its parts left and right
+        of the joint have, encoded apart, the ids that a ends and b begins with, so that replacing these touches
+        nothing else. The widest window is all of both.
+        """
+        self.repairs += 1
+        reach, before = 32, None
         while True:
-            a, b = max(left, cut - reach), min(right, cut + reach)
-            while a > left and data[a] & 0xC0 == 0x80:
-                a -= 1
-            while b < right and data[b] & 0xC0 == 0x80:
-                b += 1
-            whole = self._word(data[left:right])
-            before, after = self._word(data[left:a]), self._word(data[b:right])
-            window = self._word(data[a:b])
-            if before + window + after == whole:
-                return len(before), window, len(after)
-            if a == left and b == right:
-                return None
+            i, j = max(0, len(left) - reach), min(len(right), reach)
+            while i and not self._between_words(left, i):
+                i -= 1
+            while j < len(right) and not self._between_words(right, j):
+                j += 1
+            window = self._ids(self._glue(left[i:], right[:j]))
+            if i == 0 and j == len(right):
+                return window
+            ids_tail, ids_head = self._ids(left[i:]), self._ids(right[:j])
+            if a.endswith(ids_tail) and b.startswith(ids_head):
+                now = a[: len(a) - len(ids_tail)] + window + b[len(ids_head) :]
+                if now == before:
+                    return now
+                before = now
             reach *= 2
 
-    def encode(self, text: str) -> np.ndarray:
-        data = text.encode()
-        ends = chunk_ends(data, self.bits)
-        if not len(ends):
-            return np.frombuffer(self._chunk(data), np.uint32)
-        out, at = [], 0
-        cuts = ends.tolist()
-        for end in cuts:
-            # white space that is dropped belongs to no chunk; otherwise the blank opens the next chunk
-            out.append(self._chunk(data[at:end]))
-            at = end + 1 if self.words_apart else end
-        out.append(self._chunk(data[at:]))
-        bounds = [0, *cuts, len(data)]
-        for k, cut in enumerate(cuts):
-            left = max(data.rfind(b" ", bounds[k], cut), data.rfind(b"\n", bounds[k], cut)) + 1 if cut else 0
-            right = data.find(b" ", cut + 1, bounds[k + 2])
-            pair = data[max(left, bounds[k]) : cut] + b"\0" + data[cut + 1 : right if right >= 0 else bounds[k + 2]]
-            if self.joints[pair]:
-                continue
-            fixed = self._repaired(data, bounds[k], cut, bounds[k + 2])
-            whole = np.array(self._ids(text), np.uint32)
-            if fixed is None:
-                return whole
-            drop_left, window, drop_right = fixed
-            out[k] = out[k][:drop_left] + window
-            out[k + 1] = out[k + 1][len(out[k + 1]) - drop_right :] if drop_right else b""
-            if len(b"".join(out)) != whole.nbytes or b"".join(out) != whole.tobytes():
-                return whole
-        return np.frombuffer(b"".join(out), np.uint32)
+    @staticmethod
+    def _between_words(text: bytes, at: int) -> bool:
+        return text[at : at + 1] == b" " and 32 < text[at - 1] < 127 and 32 < (text[at + 1 : at + 2] or b" ")[0] < 127
+
+    def encode(self, text: str, known: dict[int, bytes] | None = None) -> np.ndarray:
+        """ids of a text; known: ids of some of its chunks, by their number."""
+        known = known or {}
+        parts = chunks(text.encode(), self.bits, self.words_apart)
+        done, last, ids = [], parts[0], known[0] if 0 in known else self.chunk(parts[0])
+        for k, part in enumerate(parts[1:], 1):
+            own = known[k] if k in known else self.chunk(part)
+            full = self._has_word(last) and self._has_word(part)
+            if self.words_apart and not full:  # nothing meets here
+                ids += own
+                last = last if self._has_word(last) else part
+            elif full and self.joints[self._ends(last, part)]:
+                done.append(ids)
+                last, ids = part, own
+            else:  # the two are one chunk from here on
+                last, ids = self._glue(last, part), self._repaired(last, ids, part, own)
+        return np.frombuffer(b"".join([*done, ids]), np.uint32)
 
     def decode(self, ids: np.ndarray) -> str:
         """tokenizer.decode(ids, skip_special_tokens=False); tokens are joined by blanks where it has no decoder."""
@@ -159,32 +169,81 @@ class ChunkEncoder:
         return self.tokens
 
 
+def _in_arrow(function: Callable[..., Iterator[tuple]], schema: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function from one that turns a row, given as its values, into rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in pieces(batches):
+            rows = [made for row in zip(*(c.to_pylist() for c in some.columns), strict=True) for made in function(*row)]
+            columns = zip(*rows, strict=True) if rows else [[] for _ in arrow]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return run
+
+
 def encode_decode(df: DataFrame, encoder: Callable[[], ChunkEncoder], id_col: str = "doc_id", text_col: str = "text", *, contents: bool = False) -> DataFrame:
-    """One row a row of df: doc_id, n_tokens, ids_sha256, decoded_sha256; with contents also ids and decoded.
+    """One row a row of df: doc_id, n_tokens, ids_sha256, decoded_sha256, n_shared_bytes; with contents also ids and decoded.
 
-    A null text counts as empty and has no tokens. Null ids and repeated rows are encoded like others, each on its
-    own. An empty table gives no rows. Caches have a fixed number of entries, so memory does not grow with the input.
+    n_shared_bytes: bytes in chunks that occur twice or more in the table; these are encoded once for all. A null text
+    counts as empty and has no tokens. Null ids and repeated rows are encoded like others; an empty table gives no
+    rows. Very long texts are encoded whole, by their chunks. Chunks are equal if 128 bits of hash are. What a worker
+    remembers of words has a fixed number of entries of bounded length; a chunk's ids travel with the documents that
+    have it, so memory does not grow with the input.
     """
     kind = df.schema[id_col].dataType.simpleString()
     held: list[ChunkEncoder] = []
 
-    def run(ids: list, texts: list[str]) -> dict[str, list]:
+    def coder() -> ChunkEncoder:
         if not held:
             held.append(encoder())
-        coder = held[0]
-        coder.pieces()
-        coded = [coder.encode(x) for x in texts]
-        decoded = [coder.decode(x) for x in coded]
-        out = {
-            "doc_id": ids,
-            "n_tokens": [len(x) for x in coded],
-            "ids_sha256": [hashlib.sha256(" ".join(coder.numbers[x].tolist()).encode()).hexdigest() for x in coded],
-            "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in decoded],
-        }
-        return out | ({"ids": [x.tolist() for x in coded], "decoded": decoded} if contents else {})
-
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * contents
-    return map_texts(slim(df, id_col, text_col), run, schema)
+            held[0].pieces()
+        return held[0]
+
+    def keys_of(file, row, text):
+        parts = chunks((text or "").encode(), coder().bits, coder().words_apart)
+        yield file, row, [xxhash.xxh3_128_digest(x) for x in parts]
+
+    def packed(doc_id, file, row, text):
+        yield doc_id, file, row, zstandard.compress((text or "").encode(), 1)
+
+    def encode_owned(z, owned):
+        own, wanted = coder(), set(owned)
+        for part in chunks(zstandard.decompress(z), own.bits, own.words_apart):
+            key = xxhash.xxh3_128_digest(part)
+            if key in wanted:
+                wanted.discard(key)
+                yield key, own.chunk(part)
+
+    def put_together(doc_id, z, shared):
+        own, text = coder(), zstandard.decompress(z).decode()
+        known = {x["k"]: x["ids"] for x in shared or ()}
+        ids = own.encode(text, known)
+        decoded = own.decode(ids)
+        n_shared = sum(len(x) for k, x in enumerate(chunks(text.encode(), own.bits, own.words_apart)) if k in known) if known else 0
+        row = doc_id, len(ids), hashlib.sha256(" ".join(own.numbers[ids].tolist()).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), n_shared
+        yield row + ((ids.tolist(), decoded) if contents else ())
+
+    place = ["__file", "__row"]
+    rows, text = located(df), inner(df, text_col).cast("string").alias("text")
+    cut = "__file string, __row long, keys array<binary>"
+    keys = staged(rows.select(*place, text).mapInArrow(_in_arrow(keys_of, cut), cut), "keys")
+    each = keys.select(*place, F.posexplode("keys").alias("k", "key"))
+    # a place as one number keeps the count a hash aggregation; equal numbers of two places give two owners of one chunk
+    at = F.xxhash64(*place).alias("at")
+    repeated = each.select("key", at).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at")).filter("n > 1")
+    owned = repeated.groupBy("at").agg(F.collect_list("key").alias("owned"))
+    bodies = "doc_id {}, __file string, __row long, z binary".format(kind)
+    small = rows.select(inner(df, id_col).alias("doc_id"), *place, text).mapInArrow(_in_arrow(packed, bodies), bodies)
+    once = small.select(at, "z").join(owned, "at").select("z", "owned").mapInArrow(_in_arrow(encode_owned, "key binary, ids binary"), "key binary, ids binary")
+    encoded = staged(once, "encoded").dropDuplicates(["key"])
+    # two documents may share the owner's number: what both encode is the same, and one stays
+    shared = each.join(encoded, "key").groupBy(*place).agg(F.collect_list(F.struct("k", "ids")).alias("shared"))
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_shared_bytes long" + ", ids array<long>, decoded string" * contents
+    return small.join(shared, place, "left").select("doc_id", "z", "shared").mapInArrow(_in_arrow(put_together, schema), schema)
 
 
 def word_encoder() -> ChunkEncoder:
