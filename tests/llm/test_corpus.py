@@ -95,6 +95,30 @@ def test_substring_dedup(spark, docs, nothing):
     assert substring_dedup.substring_dedup(nothing).count() == 0
 
 
+def test_substring_dedup_keeps_ids_of_any_type(spark, docs):
+    rows = [(1 << 63) - 1 if i is None else i for i, _ in pairs(docs)]
+    df = spark.createDataFrame(list(zip(rows, [t for _, t in pairs(docs)], strict=True)), "doc_id long, text string")
+    got = substring_dedup.substring_dedup(df).collect()
+    assert bag(tuple(r) for r in got) == bag(brute_substrings([(r["doc_id"], r["text"]) for r in df.collect()], 50))
+    names = spark.createDataFrame([(f"d{i % 100:02}", t) for i, t in zip(rows, [t for _, t in pairs(docs)], strict=True)], "doc_id string, text string")
+    brute = brute_substrings([(int(r["doc_id"][1:]), r["text"]) for r in names.collect()], 50)
+    assert bag(tuple(r) for r in substring_dedup.substring_dedup(names).collect()) == bag((f"d{i:02}", *x) for i, *x in brute)
+
+
+def test_the_automaton_alone_locates(spark, docs, monkeypatch):
+    assert [x.tolist() for x in substring_dedup.locate([b"a b c a b".split(), b"c a".split()], [b"a b", b"c a"])] == [[0, 2, 3], [0]]
+    monkeypatch.setattr(substring_dedup, "locate", lambda shard, phrases: [np.zeros(0, np.int64) for _ in shard])
+    few = substring_dedup._candidates(50, 8, __import__("pyarrow").int64())
+    import pyarrow as pa
+    import zstandard
+
+    text = " ".join(f"w{k}" for k in range(60)).encode()
+    batch = pa.RecordBatch.from_pydict({"k1": [1], "oid": [1], "z": [zstandard.compress(text)], "phrases": [[b" ".join(text.split()[:8])]]})
+    assert next(iter(few(iter([batch])))).column(3).to_pylist() == [[]]
+    monkeypatch.undo()
+    assert next(iter(few(iter([batch])))).column(3).to_pylist() == [[0]]
+
+
 def test_substring_dedup_on_the_smallest_table(spark):
     got = substring_dedup.op1_substring_dedup(spark, SF)
     assert bag(tuple(r) for r in got.collect()) == bag(brute_substrings(pairs(spark.read.parquet(f"{SF}/documents.parquet")), 50))
