@@ -9,6 +9,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.quantiles import percentiles
 from tessella.functions.scalars import checked, clip, ihs, nan_to_null
 
 LOG_FLOOR = 1e-9
@@ -98,32 +99,32 @@ def screen(df: DataFrame, columns: list[str], *, method: str = "ihs", threshold:
 
 
 def fit_scaler(df: DataFrame, columns: list[str], rule: ScalerRule = ScalerRule(), transforms: dict[str, str] | None = None) -> FittedScaler:
-    """Fit all columns in one aggregation (two where a log needs its shift first)."""
+    """Fit all columns together: one aggregation for moments, exact quantiles for the rest, and one before where a log needs its shift."""
     fitted = FittedScaler(rule, list(columns), dict(transforms or {}))
     logs = [c for c in columns if fitted.transforms.get(c) == "log"]
     if logs:
         least = df.agg(*[F.min(nan_to_null(F.col(c).cast("double"))).alias(c) for c in logs]).first()
         for c in logs:
             fitted.stats[c] = {"shift": LOG_FLOOR - least[c] if least[c] is not None and least[c] <= 0 else 0.0}
-    wanted = []
+    moments, ranks = [], {}
     for c in columns:
         x = nan_to_null(fitted.transformed(c))
         if rule.base == "standard":
-            wanted += [F.avg(x).alias(f"{c}:center"), F.stddev_pop(x).alias(f"{c}:scale")]
-        if rule.base == "robust":
-            wanted.append(F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"{c}:quartiles"))
-        if rule.clip_mode == "percentile":
-            wanted.append(F.percentile(x, F.array(F.lit(rule.lower / 100), F.lit(rule.upper / 100))).alias(f"{c}:bounds"))
-    row = df.agg(*wanted).first().asDict() if wanted else {}
+            moments += [F.avg(x).alias(f"{c}:center"), F.stddev_pop(x).alias(f"{c}:scale")]
+        shares = [0.25, 0.5, 0.75] * (rule.base == "robust") + [rule.lower / 100, rule.upper / 100] * (rule.clip_mode == "percentile")
+        if shares:
+            ranks[c] = (x, shares)
+    row = df.agg(*moments).first().asDict() if moments else {}
+    found = percentiles(df, ranks) if ranks else {}
     for c in columns:
         center, scale = row.get(f"{c}:center", 0.0), row.get(f"{c}:scale", 1.0)
         if rule.base == "robust":
-            q = row[f"{c}:quartiles"] or (0.0, 0.0, 1.0)
+            q = (found[c] or (0.0, 0.0, 1.0))[:3]
             center, scale = q[1], q[2] - q[0]
         stats = fitted.stats.setdefault(c, {})
         stats |= {"center": center or 0.0, "scale": scale or 1.0}
         if rule.clip_mode == "percentile":
-            lo, hi = row[f"{c}:bounds"] or (0.0, 0.0)
+            lo, hi = (found[c] or (0.0, 0.0))[-2:]
             stats |= {"lo": (lo - stats["center"]) / stats["scale"], "hi": (hi - stats["center"]) / stats["scale"]}
     return fitted
 
@@ -135,7 +136,7 @@ def quantile_scaled(df: DataFrame, columns: list[str], *, lower: float = 1.0, up
     """
     ranks = [k / (n_quantiles - 1) for k in range(n_quantiles)]
     at = [(lower + (upper - lower) * r) / 100 for r in ranks]
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, at))).alias(c) for c in columns]).first()
+    row = percentiles(df, {c: (F.col(c), at) for c in columns})
     edge = NormalDist().inv_cdf
     out = {}
     for c in columns:

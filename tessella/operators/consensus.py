@@ -5,12 +5,13 @@ Partitions are rows (cell_id, run, label) beside a small run table (run, graph_t
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.staging import cut_lineage
+
 
 def run_summary(partitions: DataFrame, runs: DataFrame) -> DataFrame:
     """Per run: settings, n_clusters, n_unassigned, largest_cluster."""
@@ -239,7 +240,9 @@ def merge_table(merges: np.ndarray, n: int, top: float = 1.0) -> pd.DataFrame:
 
 
 def dense(pairs: DataFrame, ids: list) -> np.ndarray:
-    """The pair table as a matrix with unit diagonal, for a linkage of at most a few thousand cells."""
+    """The pair table as a matrix with unit diagonal; over 25,000 cells it refuses before it collects a pair."""
+    if len(ids) > 25_000:
+        raise ValueError(f"{len(ids)} cells: a matrix would hold {len(ids) ** 2 * 8 / 1e9:.1f} GB")
     at = {x: k for k, x in enumerate(ids)}
     m = np.eye(len(ids))
     pdf = pairs.toPandas()
@@ -326,21 +329,24 @@ def modularity(codes: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, r
     return float((w[codes[a] == codes[b]].sum()) / total - resolution * ((mass / (2 * total)) ** 2).sum())
 
 
-def leiden_runs(graphs: DataFrame, runs: DataFrame, ids: DataFrame, seed: int = 0, min_size: int = 1) -> DataFrame:
+def leiden_runs(graphs: DataFrame, runs: DataFrame, seed: int = 0, min_size: int = 1) -> DataFrame:
     """(cell_id, run, label): one Leiden run a row of runs, side by side.
 
-    graphs: (graph, a, b, weight) with few graphs; runs: (run, graph, resolution). A run is one task: as in any
-    library of this kind a single graph must fit in a worker.
+    graphs: (graph, a, b, weight) with few graphs, in which a cell without neighbours has an edge to itself of weight
+    0; runs: (run, graph, resolution) and the run's own seed, where they have that column. A run is one task: as in
+    any library of this kind a single graph must fit in a worker.
     """
-    kind = ids.schema["cell_id"].dataType.simpleString()
-    table = runs.join(graphs, "graph").select("run", "resolution", "a", "b", "weight")
-    everyone = ids.toPandas()["cell_id"].sort_values().to_numpy()
+    kind = graphs.schema["a"].dataType.simpleString()
+    own = F.col("seed") if "seed" in runs.columns else F.lit(seed) + F.col("run")
+    table = runs.select("run", "graph", "resolution", own.alias("seed")).join(graphs, "graph").select("run", "resolution", "seed", "a", "b", "weight")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         run = int(pdf["run"].iloc[0])
-        at = pd.Series(np.arange(len(everyone)), index=everyone)
-        a, b = at[pdf["a"]].to_numpy(), at[pdf["b"]].to_numpy()
-        codes = leiden(len(everyone), a, b, pdf["weight"].to_numpy(), float(pdf["resolution"].iloc[0]), seed + run, min_size)
+        pdf = pdf.sort_values(["a", "b"])  # the order of the rows shall not matter
+        everyone, at = np.unique(np.concatenate((pdf["a"].to_numpy(), pdf["b"].to_numpy())), return_inverse=True)
+        a, b, w = at[: len(pdf)], at[len(pdf) :], pdf["weight"].to_numpy(np.float64)
+        real = w > 0
+        codes = leiden(len(everyone), a[real], b[real], w[real], float(pdf["resolution"].iloc[0]), int(pdf["seed"].iloc[0]), min_size)
         return pd.DataFrame({"cell_id": everyone, "run": run, "label": codes})
 
     return table.groupBy("run").applyInPandas(one, f"cell_id {kind}, run long, label long")
@@ -358,20 +364,19 @@ def axis_stability(partitions: DataFrame, summary: DataFrame, reference: DataFra
     )
 
 
-def merge_support(partitions: DataFrame, summary: DataFrame, sides: DataFrame, n_bands: int = 4) -> DataFrame:
-    """(merge, band, support): share of a resolution band's runs in which both sides of a merge have one modal label.
+def merge_support(partitions: DataFrame, bands: DataFrame, sides: DataFrame) -> DataFrame:
+    """(merge, band, support): share of a band's runs in which both sides of a merge have one modal label.
 
-    sides: (merge, side, cell_id), side 0 or 1. Ties of the mode go to the lowest label; unassigned cells do not count.
+    bands: (run, band); sides: (merge, side, cell_id), side 0 or 1. Ties of the mode go to the lowest label;
+    unassigned cells do not count, and a run in which a side has no label does not agree.
     """
-    bands = summary.select("run", (F.ntile(n_bands).over(Window.orderBy("resolution", "run")) - 1).alias("band"))
     votes = partitions.filter("label >= 0").join(sides, "cell_id").groupBy("merge", "run", "side", "label").agg(F.count(F.lit(1)).alias("n"))
     modal = votes.groupBy("merge", "run", "side").agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("m")).select("merge", "run", (-F.col("m.l")).alias("l"))
     agreed = modal.groupBy("merge", "run").agg(((F.count(F.lit(1)) == 2) & (F.min("l") == F.max("l"))).cast("double").alias("agree"))
-    return agreed.join(bands, "run").groupBy("merge", "band").agg(F.avg("agree").alias("support"))
+    every = sides.select("merge").distinct().crossJoin(F.broadcast(bands))  # at most a few hundred merges by a run table
+    return every.join(agreed, ["merge", "run"], "left").groupBy("merge", "band").agg(F.avg(F.coalesce("agree", F.lit(0.0))).alias("support"))
 
 
 def merge_verdicts(support: DataFrame) -> DataFrame:
     low, high = F.min("support"), F.max("support")
     return support.groupBy("merge").agg(F.when(high <= 0.5, "unsupported").when(low > 0.5, "all-band").otherwise("fine-only").alias("verdict"))
-
-

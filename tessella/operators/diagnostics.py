@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.quantiles import percentiles, running_total
 from tessella.functions.scalars import is_finite
 from tessella.operators.knn import with_codes
 from tessella.operators.space import moments
@@ -46,8 +47,9 @@ def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 def clip_comparison(df: DataFrame, columns: list[str], *, lower: float = 0.1, upper: float = 99.9, n_sigma: float = 5.0) -> DataFrame:
     """Cells that a percentile rule and a sigma rule (robust units) would clip."""
     rows = long(df, columns)
-    q = F.array(*[F.lit(x) for x in (lower / 100, 0.25, 0.5, 0.75, upper / 100)])
-    fit = rows.groupBy("feature").agg(F.percentile("value", q).alias("q"))
+    finite = {c: F.when(is_finite(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    found = percentiles(df, {c: (finite[c], [lower / 100, 0.25, 0.5, 0.75, upper / 100]) for c in columns})
+    fit = df.sparkSession.createDataFrame([(c, q) for c, q in found.items() if q is not None], "feature string, q array<double>")
     x = rows.join(F.broadcast(fit), "feature")  # one row a feature
     iqr = F.col("q")[3] - F.col("q")[1]
     sigma = F.abs(F.col("value") - F.col("q")[2]) / F.when(iqr > 0, iqr).otherwise(1.0)
@@ -63,10 +65,9 @@ def clip_comparison(df: DataFrame, columns: list[str], *, lower: float = 0.1, up
 
 
 def ranked(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """Average ranks by counting: values are pre-aggregated, so a frequent value is one row in its window."""
-    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.select(*by, value, (F.coalesce(before, F.lit(0)) + (F.col("__n") + 1) / 2).alias(out))
+    """Average ranks by counting: values are pre-aggregated, so a frequent value is one row, and running totals go by ranges."""
+    counts = running_total(rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")), by, value, "__n", "__upto")
+    ranks = counts.select(*by, value, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(out))
     return rows.join(ranks, [*by, value])
 
 
@@ -136,6 +137,29 @@ def stratum_shift(df: DataFrame, columns: list[str], stratum: str, reference: st
     )
 
 
+def correlation_of(vectors: DataFrame, vec_col: str = "features") -> tuple[int, np.ndarray]:
+    """(n, Pearson correlation) of vectors, constants 0 off the diagonal, from one pass."""
+    n, s, xx = moments(vectors.select(F.col(vec_col).alias("features")))
+    cov = xx / n - np.outer(s, s) / n**2
+    sd = np.sqrt(np.maximum(np.diag(cov), 0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        corr = np.where(np.outer(sd, sd) > 1e-300, cov / np.outer(sd, sd), 0.0)
+    np.fill_diagonal(corr, 1.0)
+    return n, corr
+
+
+def correlation_blocks(corr: np.ndarray, threshold: float = 0.5, method: str = "average") -> list[np.ndarray]:
+    """Features that merge below 1 - |rho| = threshold, as lists of places."""
+    from tessella.operators.consensus import cut, linkage
+
+    if len(corr) < 2:
+        return [np.arange(len(corr))]
+    similarity = np.abs(corr).copy()
+    np.fill_diagonal(similarity, 1.0)
+    codes = cut(linkage(similarity, method), len(corr), threshold)
+    return [np.flatnonzero(codes == c) for c in range(codes.max() + 1)]
+
+
 def feature_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, rho) of every pair of columns, constants 0, from one pass over the rows."""
     rows = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("features"))
@@ -228,3 +252,69 @@ def column_histogram(df: DataFrame, column: str, code: str = "code", bins: int =
     return df.filter(is_finite(x)).groupBy(code, step.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _ranks_beside(d: np.ndarray) -> np.ndarray:
+    """The place of each row among the neighbours of each other, itself 0."""
+    d = d.copy()
+    np.fill_diagonal(d, -1)
+    order = d.argsort(1, kind="stable")
+    out = np.empty_like(order)
+    np.put_along_axis(out, order, np.arange(len(d))[None, :], 1)
+    return out
+
+
+def _one_way(d: np.ndarray, ranks: np.ndarray, k: int) -> float:
+    """2 <rank of the k nearest by d> / n."""
+    d = d.copy()
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, 1, kind="stable")[:, :k]
+    return float(2 * np.take_along_axis(ranks, near, 1).mean() / len(d))
+
+
+def feature_relevance(df: DataFrame, columns: list[str], *, mode: str = "single", k: int = 1, standardize: bool = True, id_col: str = "cell_id", most: int = 4000, seed: int = 0) -> pd.DataFrame:
+    """How well each feature alone stands for the space of all (single), or what the space loses without it (drop_one).
+
+    The measure ranks all pairs of rows, so it reads at most `most` rows (a parameter), those of least seeded hash.
+    """
+    if mode not in ("single", "drop_one") or len(columns) < 2:
+        raise ValueError("mode is single or drop_one, and there are two features at least")
+    rows = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in columns]).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(most).toPandas().sort_values(id_col)
+    x = rows[columns].to_numpy()
+    if len(x) <= k + 1:
+        raise ValueError("too few rows")
+    if standardize:
+        sd = x.std(0)
+        x = (x - x.mean(0)) / np.where(sd > 0, sd, 1.0)
+    single = lambda j: (x[:, j, None] - x[None, :, j]) ** 2
+    full = sum(single(j) for j in range(len(columns)))
+    ranks = _ranks_beside(full)
+    if mode == "single":
+        made = [(c, _one_way(single(j), ranks, k), _one_way(full, _ranks_beside(single(j)), k)) for j, c in enumerate(columns)]
+        return pd.DataFrame(made, columns=["feature", "delta_to_full", "delta_from_full"]).sort_values(["delta_to_full", "feature"], ignore_index=True)
+    made = [(c, _one_way(np.maximum(full - single(j), 0), ranks, k)) for j, c in enumerate(columns)]
+    return pd.DataFrame(made, columns=["feature", "delta_without"]).sort_values(["delta_without", "feature"], ascending=[False, True], ignore_index=True)
+
+
+def feature_scatter(rows: DataFrame, codes: DataFrame, feature: str, against: str) -> DataFrame:
+    """(cell_id, feature, against, code) of cells in which both are finite."""
+    x, y = F.col(feature).cast("double"), F.col(against).cast("double")
+    return rows.filter(is_finite(x) & is_finite(y)).select("cell_id", x.alias("feature"), y.alias("against")).join(codes, "cell_id", "left").fillna(-1, ["code"])
+
+
+def column_profile(rows: DataFrame, column: str, code: str = "code", bins: int = 40) -> DataFrame:
+    """(code, bin, n, q25, q50, q75): a histogram of each cluster on shared edges, beside its quartiles."""
+    x = F.col(column).cast("double")
+    fine = rows.filter(is_finite(x))
+    q = fine.groupBy(code).agg(F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
+    return column_histogram(rows, column, code, bins).join(q, code).select(code, "bin", "n", *[F.col("q")[k].alias(n) for k, n in enumerate(("q25", "q50", "q75"))])
+
+
+def cluster_heatmap(df: DataFrame, columns: list[str], code: str = "code", *, top: int = 40) -> DataFrame:
+    """(feature, place, code, mean_z) of the `top` features by their one-way F, over z-scores of the clustered cells."""
+    rows = long(df.filter(F.col(code) >= 0), columns, [code])
+    scored = discriminative_features(df, columns, code).select("feature", F.coalesce("f_stat", F.lit(0.0)).alias("f"))
+    place = Window.orderBy(F.desc("f"), "feature")  # one row a feature
+    best = scored.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= top)
+    fit = rows.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    per = rows.groupBy("feature", code).agg(F.avg("value").alias("own"))
+    z = F.when(F.col("s") > 0, (F.col("own") - F.col("m")) / F.col("s")).otherwise(0.0)
+    return per.join(fit, "feature").join(best, "feature").select("feature", "place", code, z.alias("mean_z"))

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Names that a label set's dimension may hold; it lives on the driver.
+MOST_CLASSES = 100_000
+
+
 @dataclass
 class Label:
     name: str
@@ -28,7 +32,9 @@ class LabelSet:
         """Codes by sorted distinct value; null, NaN and the sentinels are unassigned."""
         x = F.col(value)
         known = x.isNotNull() & ~x.cast("string").isin("NaN", *map(str, unassigned))
-        values = sorted(r[0] for r in df.filter(known).select(value).distinct().collect())  # the dimension: one row a class
+        values = sorted(r[0] for r in df.filter(known).select(value).distinct().limit(MOST_CLASSES + 1).collect())
+        if len(values) > MOST_CLASSES:
+            raise ValueError(f"{value} has over {MOST_CLASSES} values: that is no label")
         spark = df.sparkSession
         if not values:
             return cls(df.select(id_col, F.lit(-1).cast("long").alias("code")), {}, name or value, id_col)
@@ -42,6 +48,49 @@ class LabelSet:
             fact = fact.withColumn("code", code.cast("long"))
         return replace(self, fact=fact, meta=dict(self.meta if meta is None else meta))
 
+    @classmethod
+    def from_clustering(cls, clustering, *, distance_threshold: float, min_cluster_size: int = 1, name: str = "label") -> LabelSet:
+        return clustering.label(distance_threshold=distance_threshold, min_cluster_size=min_cluster_size, name=name, order=False)
+
+    @property
+    def ids(self) -> list[int]:
+        return sorted(self.meta)
+
+    @property
+    def names(self) -> list[str]:
+        return [self.meta[k].name for k in sorted(self.meta)]
+
+    @property
+    def n_clusters(self) -> int:
+        return len(self.meta)
+
+    @property
+    def cell_ids(self) -> DataFrame:
+        return self.fact.select(self.id_col)
+
+    @property
+    def codes(self) -> DataFrame:
+        return self.fact.select(self.id_col, "code")
+
+    @property
+    def assigned(self) -> DataFrame:
+        """(id, assigned) of every cell."""
+        return self.fact.select(self.id_col, (F.col("code") >= 0).alias("assigned"))
+
+    def with_codes(self, fact: DataFrame, *, name: str | None = None) -> LabelSet:
+        """Other cells (id, code) under the same identities."""
+        return LabelSet(fact.select(self.id_col, F.col("code").cast("long").alias("code")), {k: replace(v) for k, v in self.meta.items()}, name or self.name, self.id_col)
+
+    def decode(self, codes: DataFrame) -> DataFrame:
+        """codes (..., code) with the cluster's name, null where it is unassigned or unknown."""
+        return codes.join(F.broadcast(self.dimension().select(F.col("id").alias("code"), F.col("name").alias("label"))), "code", "left")
+
+    def to_names(self) -> DataFrame:
+        """(id, name) of every cell, null where it is unassigned."""
+        return self.to_frame().select(self.id_col, F.col(self.name).alias("name"))
+
+    to_series = to_names
+
     def code_of(self, key: int | str) -> int:
         found = [k for k, label in self.meta.items() if key in (k, label.name)]
         if len(found) != 1:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.scalers import FittedScaler
+
 
 @dataclass
 class FittedSpace:
@@ -21,6 +23,36 @@ class FittedSpace:
     alpha: float = 0.0
     floor: float = 0.0
     weights: np.ndarray | None = None
+    scaler: FittedScaler | None = None
+    columns: list[str] | None = None
+
+    @property
+    def n_total_components(self) -> int:
+        return len(self.eigenvalues)
+
+    @property
+    def n_features(self) -> int:
+        return len(self.mean)
+
+    @property
+    def retained(self) -> np.ndarray:
+        return np.arange(len(self.eigenvalues)) < self.n_components
+
+    @property
+    def cumulative_explained_variance(self) -> float:
+        """Share of the variance in the components that are kept."""
+        return float(self.ratios[: self.n_components].sum())
+
+    @property
+    def covariance_condition_number(self) -> float:
+        """Highest over lowest eigenvalue of the kept components, with the floor that alpha uses."""
+        kept = self.eigenvalues[: self.n_components] + self.floor
+        return float(kept[0] / kept[-1]) if kept[-1] > 0 else float("inf")
+
+    @property
+    def label(self) -> str:
+        parts = [f"{self.cumulative_explained_variance:.3g}", *([f"alpha={self.alpha:g}"] if self.alpha else []), *(["weighted"] if self.weights is not None else [])]
+        return f"pca({', '.join(parts)})"
 
     @property
     def ratios(self) -> np.ndarray:
@@ -29,8 +61,8 @@ class FittedSpace:
     def n_components_for(self, explained: float) -> int:
         return min(int(np.searchsorted(np.cumsum(self.ratios), explained, side="right")) + 1, len(self.eigenvalues))
 
-    def with_alpha(self, alpha: float) -> FittedSpace:
-        return FittedSpace(**{**self.__dict__, "alpha": alpha})
+    def with_alpha(self, alpha: float, floor: float | None = None) -> FittedSpace:
+        return FittedSpace(**{**self.__dict__, "alpha": alpha, "floor": self.floor if floor is None else floor})
 
     def with_components(self, n: int) -> FittedSpace:
         return FittedSpace(**{**self.__dict__, "n_components": n})
@@ -60,20 +92,49 @@ class FittedSpace:
 
         return rows.select(id_col, project(vec_col).alias("features"))
 
-    def spectrum(self) -> pd.DataFrame:
+    def transform_raw(self, rows: DataFrame, id_col: str) -> DataFrame:
+        """(id, features) of rows with the raw feature columns: scaled by the space's own scaler first."""
+        if self.scaler is None or self.columns is None:
+            raise ValueError("this space was fitted without a scaler")
+        scaled = self.scaler.apply(rows)
+        return self.transform(scaled.select(id_col, F.array(*[F.col(c).cast("double") for c in self.columns]).alias("features")), id_col)
+
+    def scores(self, rows: DataFrame, id_col: str, vec_col: str = "features", n_components: int | None = None) -> DataFrame:
+        """(id, features): coordinates on all components, or the first ones, without alpha."""
+        plain = self.with_alpha(0.0).with_components(n_components or self.n_total_components)
+        return plain.transform(rows, id_col, vec_col)
+
+    def spectrum(self, rows: DataFrame | None = None, vec_col: str = "features", *, tail_sigma: float = 5.0) -> pd.DataFrame:
+        """A row a component; given scaled rows, also the excess kurtosis of the scores and the cells in their tails.
+
+        A cell is in the tail if its score is over tail_sigma times the quartile range / 1.349 from the median.
+        """
         r = self.ratios
         n = len(r)
-        return pd.DataFrame(
-            {"component": range(n), "eigenvalue": self.eigenvalues, "ev_ratio": r, "cumulative_ev": np.cumsum(r), "retained": np.arange(n) < self.n_components}
-        )
+        out = pd.DataFrame({"component": range(n), "eigenvalue": self.eigenvalues, "ev_ratio": r, "cumulative_ev": np.cumsum(r), "retained": self.retained})
+        if rows is None:
+            return out
+        scored = self.scores(rows.withColumn("__one", F.lit(0)), "__one", vec_col)
+        each = [F.col("features")[k] for k in range(n)]
+        q = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
+        found = scored.agg(*[f for k, x in enumerate(each) for f in (F.kurtosis(x).alias(f"k{k}"), F.percentile(x, q).alias(f"q{k}"))]).first()
+        far = []
+        for k, x in enumerate(each):
+            a, m, b = found[f"q{k}"]
+            far.append(F.sum((F.abs(x - m) > tail_sigma * (b - a) / 1.349).cast("long")).alias(f"n{k}"))
+        tails = scored.agg(*far).first()
+        return out.assign(excess_kurtosis=[found[f"k{k}"] for k in range(n)], n_tail_cells=[tails[f"n{k}"] for k in range(n)])
 
     def to_json(self) -> str:
-        return json.dumps({k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in self.__dict__.items()})
+        plain = {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in self.__dict__.items()}
+        return json.dumps({**plain, "scaler": None if self.scaler is None else self.scaler.to_json()})
 
     @classmethod
     def from_json(cls, text: str) -> FittedSpace:
         made = json.loads(text)
-        return cls(**{k: np.array(v) if isinstance(v, list) else v for k, v in made.items()})
+        scaler, columns = made.pop("scaler", None), made.pop("columns", None)
+        plain = {k: np.array(v) if isinstance(v, list) else v for k, v in made.items()}
+        return cls(**plain, scaler=None if scaler is None else FittedScaler.from_json(scaler), columns=columns)
 
 
 def moments(rows: DataFrame, vec_col: str = "features") -> tuple[int, np.ndarray, np.ndarray]:

@@ -2,38 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.quantiles import running_total
 from tessella.functions.scalers import fit_scaler
 from tessella.operators import knn as kn
 from tessella.operators.frame import CellFrame
 from tessella.operators.space import fit_space
+from tessella.sources.staging import cut_lineage
 
 #: One-sided verdicts of clusters whose image is clean.
 PASSING = ("reproduces", "weak")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df below spark.checkpoint.dir and read it again; a local folder is made only where none is set (one machine)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def transition(edges: DataFrame, *, mutual: bool = True) -> DataFrame:
     """Row-normalised affinity 1/(d + floor) over (mutual) neighbour edges: (src, dst, t)."""
     middle = edges.filter("dist > 0").agg(F.percentile("dist", 0.5)).first()[0] or 1.0
@@ -83,9 +68,10 @@ def confidence_curve(scored: DataFrame) -> DataFrame:
     """(cut, n_kept, kept_fraction, error_rate) at every distinct confidence of (truth, predicted, confidence), known truths only."""
     known = scored.filter("truth >= 0")
     per = known.groupBy(F.col("confidence").alias("cut")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("truth") != F.col("predicted")).cast("long")).alias("wrong"))
-    down = Window.orderBy(F.desc("cut")).rowsBetween(Window.unboundedPreceding, 0)  # one row a distinct cut, after aggregation
     total = known.agg(F.count(F.lit(1)).alias("all"))
-    x = per.select("cut", F.sum("n").over(down).alias("n_kept"), F.sum("wrong").over(down).alias("w"))
+    per = per.withColumn("__one", F.lit(0))
+    kept = running_total(per, ["__one"], "cut", "n", "n_kept", descending=True)
+    x = running_total(kept, ["__one"], "cut", "wrong", "w", descending=True)
     return x.join(F.broadcast(total)).select("cut", "n_kept", (F.col("n_kept") / F.col("all")).alias("kept_fraction"), (F.col("w") / F.col("n_kept")).alias("error_rate"))
 
 

@@ -9,8 +9,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.quantiles import running_total
 from tessella.operators.knn import vote
-from tessella.operators.transfer import cut_lineage
+from tessella.sources.staging import cut_lineage
+
+
+#: Classes that a classifier is trained for.
+MOST_CLASSES = 1000
 
 
 def label_purity(codes: DataFrame, audit: DataFrame) -> DataFrame:
@@ -112,15 +117,14 @@ def conformal_p_values(calibration: DataFrame, test: DataFrame) -> DataFrame:
     """Class-conditional p-values (count of calibration scores >= t, plus 1) / (m + 1).
 
     calibration: (class_id, score) of rows of that class; test: (cell_id, class_id, score). Scores are nonconformities.
-    Both are sorted together once a class; a running count from above gives every test row its p-value.
+    Distinct scores are counted once a class; a running count from above gives every test row its p-value.
     """
-    both = calibration.select("class_id", "score", F.lit(1).alias("cal"), F.lit(None).cast(test.schema["cell_id"].dataType).alias("cell_id")).unionByName(
-        test.select("class_id", "score", F.lit(0).alias("cal"), "cell_id")
-    )
-    down = Window.partitionBy("class_id").orderBy(F.desc("score"))
-    above = F.sum("cal").over(down)  # the range frame takes equal scores in
-    total = F.sum("cal").over(Window.partitionBy("class_id"))
-    x = both.withColumns({"above": above, "m": total}).filter("cal = 0")
+    n = calibration.groupBy("class_id", "score").agg(F.count(F.lit(1)).alias("n"))
+    asked = test.select("class_id", "score").distinct().withColumn("n", F.lit(0).cast("long"))
+    points = n.unionByName(asked).groupBy("class_id", "score").agg(F.sum("n").alias("n"))
+    above = running_total(points, ["class_id"], "score", "n", "above", descending=True).drop("n")
+    total = n.groupBy("class_id").agg(F.sum("n").alias("m"))
+    x = test.join(above, ["class_id", "score"]).join(total, "class_id", "left").fillna(0, ["m"])
     return x.select("cell_id", "class_id", ((F.col("above") + 1) / (F.col("m") + 1)).alias("p_value"))
 
 
@@ -129,13 +133,12 @@ def weighted_p_values(calibration: DataFrame, test: DataFrame) -> DataFrame:
 
     calibration: (class_id, score, weight); test: (cell_id, class_id, score, weight). A class without calibration rows gives 1.
     """
-    kind = test.schema["cell_id"].dataType
-    both = calibration.select("class_id", "score", "weight", F.lit(True).alias("cal"), F.lit(None).cast(kind).alias("cell_id")).unionByName(
-        test.select("class_id", "score", "weight", F.lit(False).alias("cal"), "cell_id")
-    )
-    mass = F.when(F.col("cal"), F.col("weight")).otherwise(0.0)
-    above = F.sum(mass).over(Window.partitionBy("class_id").orderBy(F.desc("score")))
-    x = both.withColumns({"above": above, "all": F.sum(mass).over(Window.partitionBy("class_id"))}).filter(~F.col("cal"))
+    mass = calibration.groupBy("class_id", "score").agg(F.sum(F.col("weight").cast("double")).alias("w"))
+    asked = test.select("class_id", "score").distinct().withColumn("w", F.lit(0.0))
+    points = mass.unionByName(asked).groupBy("class_id", "score").agg(F.sum("w").alias("w"))
+    above = running_total(points, ["class_id"], "score", "w", "above", descending=True).drop("w")
+    total = mass.groupBy("class_id").agg(F.sum("w").alias("all"))
+    x = test.join(above, ["class_id", "score"]).join(total, "class_id", "left").fillna(0.0, ["all"])
     return x.select("cell_id", "class_id", ((F.col("above") + F.col("weight")) / (F.col("all") + F.col("weight"))).alias("p_value"))
 
 
@@ -184,7 +187,9 @@ def crossfit_assessment(rows: DataFrame, *, folds: int = 5, mondrian: bool = Tru
     judged by that fold's calibration rows. mondrian ranks within the class, otherwise against all classes.
     """
     x = rows.select("cell_id", "features", "code", F.pmod(F.xxhash64("cell_id", F.lit(seed)), F.lit(folds)).alias("fold"))
-    classes = sorted(r["code"] for r in x.filter("code >= 0").select("code").distinct().collect())  # one entry a class
+    classes = sorted(r["code"] for r in x.filter("code >= 0").select("code").distinct().limit(MOST_CLASSES + 1).collect())
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"over {MOST_CLASSES} classes: a forest is not for them")
     if len(classes) < 2:
         raise ValueError("an assessment needs two classes")
     parts = []
@@ -204,8 +209,7 @@ def crossfit_assessment(rows: DataFrame, *, folds: int = 5, mondrian: bool = Tru
         """Calibration rows whose score is that of the row or higher, counted over distinct scores."""
         points = cal.groupBy(*by, "score").agg(F.sum("n").alias("n")).unionByName(asked.select(*by, "score").distinct().withColumn("n", F.lit(0).cast("long")))
         points = points.groupBy(*by, "score").agg(F.sum("n").alias("n"))
-        ranked = points.withColumn("above", F.sum("n").over(Window.partitionBy(*by).orderBy(F.desc("score"))))
-        return asked.join(ranked.drop("n"), [*by, "score"])
+        return asked.join(running_total(points, by, "score", "n", "above", descending=True).drop("n"), [*by, "score"])
 
     total = cal.groupBy("class_id").agg(F.sum("n").alias("m"))
     inside = (F.col("code") == F.col("class_id")) if mondrian else F.lit(True)
