@@ -442,7 +442,7 @@ def test_grain_correspondence_by_hand():
     assert curve["n_pairs"].sum() == 3 and curve["grain"].tolist() == sorted(curve["grain"])
     with pytest.warns(UserWarning):
         band = g.suggest_band(metric="n_reproduces")
-    assert band["peak"] == 2.5 and band["best_pair"]["resolution_a"] == 2.0
+    assert band["peak"] == 2.5 and band["best_pair"]["resolution_a"] == 1.0
     with pytest.warns(UserWarning):
         other = g.complement("a", resolution_min=1.5)
     assert other["resolution_b"] == (2.0, 2.0) and other["k_a"] == (8, 9)
