@@ -208,9 +208,11 @@ def quantile_shape(spark, sf_dir):
     return quantile_scaled(read_table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), ["p_retailprice"])
 
 
-@query()
+@query("""WITH x AS (SELECT 'value' AS feature, value AS v FROM events UNION ALL SELECT 'spent', exp(value / 40) FROM events UNION ALL SELECT 'flat', (event_id % 7)::DOUBLE FROM events), m AS (SELECT feature, avg(v) AS a, stddev_pop(v) AS s FROM x GROUP BY 1)
+SELECT feature, 'ihs' AS transform FROM x JOIN m USING (feature) GROUP BY feature HAVING avg(pow(v - a, 3)) / pow(any_value(s), 3) > 1.5""")
 def screened_transforms(spark, sf_dir):
-    found = screen(read_table(spark, sf_dir, "events"), ["value"])
+    rows = read_table(spark, sf_dir, "events").withColumns({"spent": F.exp(F.col("value") / 40), "flat": (F.col("event_id") % 7).cast("double")})
+    found = screen(rows, ["value", "spent", "flat"])
     return spark.createDataFrame(sorted(found.items()), "feature string, transform string")
 
 
@@ -534,7 +536,9 @@ def block_means(spark, sf_dir):
 
 
 @query(PARTITION_SQL + SUMMARY_SQL + """SELECT count(*) AS n_runs_total, count(*) FILTER (resolution >= 1)::BIGINT AS n_runs_in_window, count(DISTINCT n_neighbors) AS n_axes_total,
-count(DISTINCT n_neighbors) FILTER (resolution >= 1) AS n_axes_in_window, 'thin' AS verdict FROM rs""")
+count(DISTINCT n_neighbors) FILTER (resolution >= 1) AS n_axes_in_window,
+CASE WHEN count(*) FILTER (resolution >= 1) = 0 THEN 'empty' WHEN count(*) FILTER (resolution >= 1) < 10 THEN 'thin' WHEN count(DISTINCT n_neighbors) FILTER (resolution >= 1) = 1 AND count(DISTINCT n_neighbors) > 1 THEN 'un-marginalised'
+WHEN 2 * count(DISTINCT n_neighbors) FILTER (resolution >= 1) < count(DISTINCT n_neighbors) THEN 'lopsided' ELSE 'ok' END AS verdict FROM rs""")
 def grain_coverage(spark, sf_dir):
     return cs.grain_coverage(cs.run_summary(*partitions(spark, sf_dir)), resolution_min=1.0)
 
@@ -758,3 +762,6 @@ def density_ratio(spark, sf_dir):
 def crossfit_p_values(spark, sf_dir):
     rows = vectors(spark, sf_dir).withColumn("code", F.when(F.col("cell_id") % 4 > 0, F.col("code") % 2).otherwise(-1))
     return rounded(va.crossfit_assessment(rows, folds=3), "p_value")
+
+
+from tessella.plans import results  # noqa: E402, F401  registers further queries
