@@ -27,7 +27,7 @@ from tessella.llm.units import Cache
 GEAR = np.random.default_rng(20240917).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
-def chunk_ends(data: bytes, bits: int = 6) -> np.ndarray:
+def chunk_ends(data: bytes, bits: int = 7) -> np.ndarray:
     """Places of the blanks that end a chunk: those where the hash of the 16 bytes before has `bits` zero bits."""
     codes = np.frombuffer(data, np.uint8)
     h = GEAR[codes]
@@ -36,7 +36,7 @@ def chunk_ends(data: bytes, bits: int = 6) -> np.ndarray:
     return np.flatnonzero((codes == 32) & (h >> np.uint32(32 - bits) == 0))
 
 
-def chunks(data: bytes, bits: int = 6, blanks_apart: bool = True) -> list[bytes]:
+def chunks(data: bytes, bits: int = 7, blanks_apart: bool = True) -> list[bytes]:
     """data cut at its chunk ends. The blank at a cut belongs to no chunk where the tokenizer drops it, else to the next one."""
     out, at = [], 0
     for end in chunk_ends(data, bits).tolist():
@@ -52,7 +52,7 @@ class ChunkEncoder:
     put together from single words, which are remembered. Joints are checked either way.
     """
 
-    def __init__(self, path: str, *, words_apart: bool = True, bits: int = 6, words: int = 200_000):
+    def __init__(self, path: str, *, words_apart: bool = True, bits: int = 7, words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -80,23 +80,26 @@ class ChunkEncoder:
             return np.array(ids, np.uint32).tobytes()
         return self._ids(word)
 
-    def _joint(self, both: tuple[bytes, bytes]) -> bool:
-        """Do the ends of two neighbouring chunks give the same ids together as apart?"""
-        left, right = both
+    def _joint(self, both: bytes) -> bool:
+        """Do the ends of two neighbouring chunks, kept apart by a zero byte, give the same ids together as apart?"""
+        left, _, right = both.rpartition(b"\0")
         return self._ids(self._glue(left, right)) == self._ids(left) + self._ids(right)
 
     def _glue(self, left: bytes, right: bytes) -> bytes:
         return left + b" " + right if self.words_apart else left + right
 
-    def _ends(self, left: bytes, right: bytes) -> tuple[bytes, bytes]:
-        """The last word of left and the first of right, with all white space between them."""
-        if not self.words_apart:  # any white space of Unicode counts
-            left, right = left.decode(), right.decode()
+    def _ends(self, left: bytes, right: bytes) -> bytes:
+        """The last word of left and the first of right, with a zero byte between them; white space that counts goes along."""
+        if self.words_apart:
+            start = max(left.rfind(b" "), left.rfind(b"\n")) + 1
+            ends = [x for x in (right.find(b" "), right.find(b"\n")) if x >= 0]
+            return left[start:] + b"\0" + (right[: min(ends)] if ends else right)
+        left, right = left.decode(), right.decode()  # any white space of Unicode counts
         tail, head = left.rstrip(), right.lstrip()
         first = head.split(None, 1)[0] if head else head
         words = tail.rsplit(None, 1)
-        ends = left[len(tail) - len(words[-1]) :] if words else left, right[: len(right) - len(head) + len(first)]
-        return ends if self.words_apart else (ends[0].encode(), ends[1].encode())
+        both = left[len(tail) - len(words[-1]) :] if words else left, right[: len(right) - len(head) + len(first)]
+        return both[0].encode() + b"\0" + both[1].encode()
 
     def _has_word(self, part: bytes) -> bool:
         return bool(part.strip() if self.words_apart else part.decode().strip())
@@ -138,10 +141,15 @@ class ChunkEncoder:
     def _between_words(text: bytes, at: int) -> bool:
         return text[at : at + 1] == b" " and 32 < text[at - 1] < 127 and 32 < (text[at + 1 : at + 2] or b" ")[0] < 127
 
-    def encode(self, text: str, known: dict[int, bytes] | None = None) -> np.ndarray:
-        """ids of a text; known: ids of some of its chunks, by their number."""
+    def encode(self, text: str) -> np.ndarray:
+        return self.join(self.cut(text.encode()))
+
+    def cut(self, data: bytes) -> list[bytes]:
+        return chunks(data, self.bits, self.words_apart)
+
+    def join(self, parts: list[bytes], known: dict[int, bytes] | None = None) -> np.ndarray:
+        """ids of a text from its chunks; known: ids of some of them, by their number."""
         known = known or {}
-        parts = chunks(text.encode(), self.bits, self.words_apart)
         done, last, ids = [], parts[0], known[0] if 0 in known else self.chunk(parts[0])
         for k, part in enumerate(parts[1:], 1):
             own = known[k] if k in known else self.chunk(part)
@@ -149,7 +157,7 @@ class ChunkEncoder:
             if self.words_apart and not full:  # nothing meets here
                 ids += own
                 last = last if self._has_word(last) else part
-            elif full and self.joints[self._ends(last, part)]:
+            elif full and b"\0" not in part and self.joints[self._ends(last, part)]:
                 done.append(ids)
                 last, ids = part, own
             else:  # the two are one chunk from here on
@@ -204,43 +212,42 @@ def encode_decode(df: DataFrame, encoder: Callable[[], ChunkEncoder], id_col: st
         return held[0]
 
     def keys_of(file, row, text):
-        parts = chunks((text or "").encode(), coder().bits, coder().words_apart)
-        yield file, row, [xxhash.xxh3_128_digest(x) for x in parts]
+        yield file, row, [xxhash.xxh3_128_digest(x) for x in coder().cut((text or "").encode())]
 
     def packed(doc_id, file, row, text):
-        yield doc_id, file, row, zstandard.compress((text or "").encode(), 1)
+        yield doc_id, file, row, zstandard.compress((text or "").encode(), 3)
 
     def encode_owned(z, owned):
         own, wanted = coder(), set(owned)
-        for part in chunks(zstandard.decompress(z), own.bits, own.words_apart):
+        for part in own.cut(zstandard.decompress(z)):
             key = xxhash.xxh3_128_digest(part)
             if key in wanted:
                 wanted.discard(key)
                 yield key, own.chunk(part)
 
     def put_together(doc_id, z, shared):
-        own, text = coder(), zstandard.decompress(z).decode()
-        known = {x["k"]: x["ids"] for x in shared or ()}
-        ids = own.encode(text, known)
+        own = coder()
+        parts, known = own.cut(zstandard.decompress(z)), {x["k"]: x["ids"] for x in shared or ()}
+        ids = own.join(parts, known)
         decoded = own.decode(ids)
-        n_shared = sum(len(x) for k, x in enumerate(chunks(text.encode(), own.bits, own.words_apart)) if k in known) if known else 0
+        n_shared = sum(len(parts[k]) for k in known)
         row = doc_id, len(ids), hashlib.sha256(" ".join(own.numbers[ids].tolist()).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), n_shared
         yield row + ((ids.tolist(), decoded) if contents else ())
 
-    place = ["__file", "__row"]
+    # a row's place as two numbers: the hash of its file and row, and the row
+    place, at = ["at", "__row"], F.xxhash64("__file", "__row").alias("at")
     rows, text = located(df), inner(df, text_col).cast("string").alias("text")
-    cut = "__file string, __row long, keys array<binary>"
-    keys = staged(rows.select(*place, text).mapInArrow(_in_arrow(keys_of, cut), cut), "keys")
+    cut = "at long, __row long, keys array<binary>"
+    keys = staged(rows.select(at, "__row", text).mapInArrow(_in_arrow(keys_of, cut), cut), "keys")
     each = keys.select(*place, F.posexplode("keys").alias("k", "key"))
-    # a place as one number keeps the count a hash aggregation; equal numbers of two places give two owners of one chunk
-    at = F.xxhash64(*place).alias("at")
-    repeated = each.select("key", at).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at")).filter("n > 1")
+    # the hash alone keeps the count a hash aggregation; equal hashes of two rows give two owners of one chunk
+    repeated = each.select("key", "at").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at")).filter("n > 1")
     owned = repeated.groupBy("at").agg(F.collect_list("key").alias("owned"))
-    bodies = "doc_id {}, __file string, __row long, z binary".format(kind)
-    small = rows.select(inner(df, id_col).alias("doc_id"), *place, text).mapInArrow(_in_arrow(packed, bodies), bodies)
-    once = small.select(at, "z").join(owned, "at").select("z", "owned").mapInArrow(_in_arrow(encode_owned, "key binary, ids binary"), "key binary, ids binary")
+    bodies = f"doc_id {kind}, at long, __row long, z binary"
+    small = rows.select(inner(df, id_col).alias("doc_id"), at, "__row", text).mapInArrow(_in_arrow(packed, bodies), bodies)
+    once = small.select("at", "z").join(owned, "at").select("z", "owned").mapInArrow(_in_arrow(encode_owned, "key binary, ids binary"), "key binary, ids binary")
     encoded = staged(once, "encoded").dropDuplicates(["key"])
-    # two documents may share the owner's number: what both encode is the same, and one stays
+    # what two owners encode is the same, and one stays
     shared = each.join(encoded, "key").groupBy(*place).agg(F.collect_list(F.struct("k", "ids")).alias("shared"))
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_shared_bytes long" + ", ids array<long>, decoded string" * contents
     return small.join(shared, place, "left").select("doc_id", "z", "shared").mapInArrow(_in_arrow(put_together, schema), schema)

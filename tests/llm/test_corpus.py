@@ -230,9 +230,10 @@ def test_joints_are_repaired_where_blanks_count():
         assert coder.repairs > 50
     # a chunk's ids that are given are used, not made again
     coder = chunked_bpe.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), bits=1)
-    first = chunked_bpe.chunks(b"one two three four five six seven", 1)[0]
+    parts = coder.cut(b"one two three four five six seven")
+    first = parts[0]
     coder.chunk = lambda part: pytest.fail("encoded") if part == first else chunked_bpe.ChunkEncoder.chunk(coder, part)
-    assert coder.encode("one two three four five six seven", {0: chunked_bpe.ChunkEncoder.chunk(coder, first)}).tolist() == library("word_bpe_49k.json").encode("one two three four five six seven", add_special_tokens=False).ids
+    assert coder.join(parts, {0: chunked_bpe.ChunkEncoder.chunk(coder, first)}).tolist() == library("word_bpe_49k.json").encode("one two three four five six seven", add_special_tokens=False).ids
 
 
 def test_token_counts(spark, docs, nothing):
