@@ -129,6 +129,10 @@ def fit_scaler(df: DataFrame, columns: list[str], rule: ScalerRule = ScalerRule(
     return fitted
 
 
+def _at_most(x: Column):
+    return lambda mark: mark <= x
+
+
 def quantile_scaled(df: DataFrame, columns: list[str], *, lower: float = 1.0, upper: float = 99.0, n_quantiles: int = 101, normal: bool = True) -> DataFrame:
     """Map each column through its quantiles, to a uniform or normal shape; landmarks come from one aggregation.
 
@@ -141,7 +145,7 @@ def quantile_scaled(df: DataFrame, columns: list[str], *, lower: float = 1.0, up
     out = {}
     for c in columns:
         x, marks = F.col(c).cast("double"), F.lit(row[c]).cast("array<double>")
-        below = F.size(F.filter(marks, lambda m, x=x: m <= x))
+        below = F.size(F.filter(marks, _at_most(x)))
         k = F.greatest(F.lit(1), F.least(F.lit(n_quantiles - 1), below))
         lo, hi = F.element_at(marks, k), F.element_at(marks, k + 1)
         step = F.when(hi > lo, (clip(x, row[c][0], row[c][-1]) - lo) / (hi - lo)).otherwise(0.0)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.quantiles import group_quantile
 from tessella.operators.knn import knn_graph
 from tessella.operators.validate import dip_statistic
 
@@ -23,15 +24,10 @@ def density(edges: DataFrame) -> DataFrame:
 def _peaks(rows: DataFrame, share: float = 0.9) -> DataFrame:
     """(code, n, volume, peak): rows, summed degrees and the interpolated quantile of the density of each cluster.
 
-    The quantile is taken from ranks: a large cluster is sorted, with spilling, and never held.
+    The quantile is read off running counts of distinct densities: no task sorts a whole cluster.
     """
     sizes = rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum("degree").alias("volume"))
-    at = F.lit(share) * (F.col("n") - 1)
-    ranked = rows.select("code", "rho", (F.row_number().over(Window.partitionBy("code").orderBy("rho")) - 1).alias("k")).join(sizes, "code")
-    low = F.floor(at)
-    near = ranked.filter((F.col("k") == low) | (F.col("k") == low + 1))
-    weight = F.when(F.col("k") == low, 1 - (at - low)).otherwise(at - low)
-    return near.groupBy("code").agg(F.first("n").alias("n"), F.first("volume").alias("volume"), F.sum(weight * F.col("rho")).alias("peak"))
+    return sizes.join(group_quantile(rows, ["code"], "rho", share, "peak"), "code").select("code", "n", "volume", "peak")
 
 
 def _pairs(clusters: DataFrame) -> DataFrame:

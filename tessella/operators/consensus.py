@@ -60,15 +60,35 @@ def density(partitions: DataFrame) -> float:
     return float(1 - np.exp(row[0] or 0.0))
 
 
-def coclustering(partitions: DataFrame, *, normalize: bool = True) -> DataFrame:
+#: Meetings of cells, over all runs, beyond which co-clustering refuses.
+MOST_MEETINGS = 10**11
+#: Cells of a cluster that meet in one task; larger clusters are dealt into pairs of such blocks.
+BLOCK = 5_000
+
+
+def coclustering(partitions: DataFrame, *, normalize: bool = True, most: int = MOST_MEETINGS, block: int = BLOCK) -> DataFrame:
     """(i, j, freq), i < j: runs in which both are in one cluster, by the runs that kept both.
 
-    The pairs are the operator's result. They number the sum of squared cluster sizes; ask density() first.
+    The pairs are the operator's result. They number the sum of squared cluster sizes, which is counted first: over
+    `most` it refuses. Clusters of over `block` cells are dealt into blocks, each pair of which meets in a task of its own.
     """
     rows = partitions.filter("label >= 0")
+    sizes = rows.groupBy("run", "label").agg(F.count(F.lit(1)).alias("n"))
+    meetings, largest = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.max("n")).first()
+    if meetings and meetings > most:
+        raise ValueError(f"{meetings:.3g} pairs would meet, over {most:.3g}")
     left = rows.select(F.col("cell_id").alias("i"), "run", "label")
     right = rows.select(F.col("cell_id").alias("j"), "run", "label")
-    pairs = left.join(right, ["run", "label"]).filter("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("co"))
+    if largest and largest > block:
+        parts = sizes.select("run", "label", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+        own = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        left = left.join(parts, ["run", "label"]).withColumn("bi", own("i")).withColumn("bj", every).drop("parts")
+        right = right.join(parts, ["run", "label"]).withColumn("bj", own("j")).withColumn("bi", every).drop("parts")
+        met = left.join(right, ["run", "label", "bi", "bj"])
+    else:
+        met = left.join(right, ["run", "label"])
+    pairs = met.filter("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("co"))
     if not normalize:
         return pairs.select("i", "j", F.col("co").cast("double").alias("freq"))
     n_runs = partitions.select("run").distinct().count()

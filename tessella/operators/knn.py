@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.staging import cut_lineage
+
 #: Bytes of the reference's vectors that one broadcast may hold.
 BROADCAST_BYTES = 200 << 20
 
@@ -64,9 +66,9 @@ def _kernel(ids: np.ndarray, ref: np.ndarray, k: int, exclude_self: bool):
 def knn(query: DataFrame, ref: DataFrame, k: int, id_col: str = "cell_id", vec_col: str = "features", *, exclude_self: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(src, dst, dist, rank): the k nearest reference rows of each query row, ties by id.
 
-    The size of the reference decides the way. Within broadcast_bytes it goes to every task once. Beyond, both sides
-    are dealt into blocks of half that size and each pair of blocks meets in one task: nothing passes through the
-    driver, a task holds two blocks, and each gives k candidates a row, of which the k best stay. Both ways are exact.
+    The size of the reference decides the way. Within broadcast_bytes it goes to every task once. Beyond, rows are dealt
+    to the cells of pivots, and a query meets only the cells that may hold a nearer row than its k nearest so far. Both
+    ways are exact.
     """
     kind = ref.schema[id_col].dataType.simpleString()
     schema = f"src {kind}, dst {kind}, dist double, rank int"
@@ -78,22 +80,88 @@ def knn(query: DataFrame, ref: DataFrame, k: int, id_col: str = "cell_id", vec_c
     if n * width * 8 <= broadcast_bytes:
         pdf = rows.toPandas()
         return asked.mapInPandas(_kernel(pdf["id"].to_numpy(), np.array(pdf["vec"].tolist(), np.float64), k, exclude_self), schema)
-    many, several = (-(-size * width * 16 // broadcast_bytes) for size in (asked.count() or 1, n))
+    return _by_cells(asked, rows, k, n, max(k + 1, broadcast_bytes // (16 * width)), exclude_self, schema)
+
+
+class Pivots:
+    """A few reference rows that the others are dealt to. Distances to them have a bound on their rounding."""
+
+    def __init__(self, points: np.ndarray):
+        self.centre = points.mean(0)  # vectors far from the origin would lose their digits
+        self.points = points - self.centre
+        self.squares = (self.points**2).sum(1)
+        self.unit = 4 * (points.shape[1] + 8) * np.finfo(np.float64).eps
+        self.slack = 1e-6 * float(np.sqrt(self.squares.max(initial=0)))  # beyond what rounding can do to a choice of cell
 
-    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds (rows, pivots)."""
+        y = x - self.centre
+        norm = (y**2).sum(1)[:, None] + self.squares
+        d2, slack = norm - 2 * y @ self.points.T, self.unit * norm
+        return np.sqrt(np.maximum(d2 - slack, 0)), np.sqrt(np.maximum(d2, 0) + slack)
 
-    def meet(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if not len(some) or not len(block):
+
+def _by_cells(asked: DataFrame, rows: DataFrame, k: int, n: int, block: int, exclude_self: bool, schema: str, most_pivots: int = 4096) -> DataFrame:
+    """Rows meet by cells of pivots. A query's own cell bounds the distance of its k-th neighbour; a cell whose rows are
+    all farther, by the triangle inequality, is passed over. Cells of over `block` rows are split, and so are the queries
+    that ask one cell: no task holds more than a block of each. The driver holds most_pivots rows and counts."""
+    spark = rows.sparkSession
+    pivots = rows.orderBy(F.xxhash64("id"), "id").limit(min(most_pivots, 2 * -(-n // block))).toPandas()
+    pivots = Pivots(np.array(pivots["vec"].tolist(), np.float64))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 512):
+                some = pdf.iloc[at : at + 512]
+                _, high = pivots.distances(np.array(some["vec"].tolist(), np.float64))
+                cell = high.argmin(1)
+                yield some.assign(cell=cell.astype(np.int32), reach=high[np.arange(len(some)), cell])
+
+    placed = f"id {kind}, vec array<double>, cell int, reach double"
+    held = cut_lineage(rows.withColumn("vec", F.col("vec").cast("array<double>")).mapInPandas(dealt, placed))
+    queries = cut_lineage(asked.withColumn("vec", F.col("vec").cast("array<double>")).mapInPandas(dealt, placed))
+    cells = held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius")).toPandas()  # a row a pivot
+    radius = np.full(len(pivots.points), -np.inf)
+    radius[cells["cell"]] = cells["radius"]
+    parts = dict(zip(cells["cell"].tolist(), (-(-cells["n"] // block)).tolist(), strict=True))
+
+    def meet(some: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(ref):
             return pd.DataFrame({"src": [], "dst": [], "dist": [], "rank": []})
-        near = _kernel(block["id"].to_numpy(), np.array(block["vec"].tolist(), np.float64), k, exclude_self)
-        return pd.concat(list(near(iter([some]))))
+        near = _kernel(ref["id"].to_numpy(), np.array(ref["vec"].tolist(), np.float64), k, exclude_self)
+        return pd.concat(list(near(iter([some[["id", "vec"]]]))))
+
+    def met(pairs: DataFrame) -> DataFrame:
+        """Candidates of (id, vec, cell) from these cells, k of each block."""
+        waiting = {r["cell"]: -(-r["n"] // block) for r in pairs.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a pivot
+        table = spark.createDataFrame([(int(c), int(parts.get(c, 0)), int(waiting.get(c, 0))) for c in set(parts) | set(waiting)], "cell int, parts int, groups int")
+        few = F.broadcast(table)
+        left = pairs.join(few, "cell").filter("parts > 0").withColumn("g", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        right = held.join(few, "cell").filter("groups > 0").withColumn("b", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
+        right = right.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        return left.select("id", "vec", "cell", "g", "b").groupBy("cell", "g", "b").cogroup(right.select("id", "vec", "cell", "g", "b").groupBy("cell", "g", "b")).applyInPandas(meet, schema)
 
-    left = dealt(asked, "qb", many, "rb", several).groupBy("qb", "rb")
-    right = dealt(rows, "rb", several, "qb", many).groupBy("qb", "rb")
-    out = left.cogroup(right).applyInPandas(meet, schema)
     best = Window.partitionBy("src").orderBy("dist", "dst")
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    top = lambda x: x.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    first = cut_lineage(top(met(queries.select("id", "vec", "cell"))))
+    bound = first.filter(F.col("rank") == k).select(F.col("src").alias("id"), F.col("dist").alias("bound"))
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 512):
+                some = pdf.iloc[at : at + 512]
+                low, _ = pivots.distances(np.array(some["vec"].tolist(), np.float64))
+                own, limit = some["cell"].to_numpy(), some["bound"].fillna(np.inf).to_numpy()
+                # a row of another cell is nearer to that cell's pivot than to the query's, and within its radius
+                least = np.maximum(low - radius, (low - some["reach"].to_numpy()[:, None]) / 2)
+                wanted = (least <= limit[:, None] * (1 + 1e-9) + pivots.slack) & np.isfinite(radius)
+                wanted[np.arange(len(some)), own] = False
+                yield pd.DataFrame({"id": some["id"], "vec": some["vec"], "cells": [np.flatnonzero(w).astype(np.int32) for w in wanted]})
+
+    more = cut_lineage(queries.join(bound, "id", "left").mapInPandas(others, f"id {kind}, vec array<double>, cells array<int>"))
+    second = met(more.select("id", "vec", F.explode("cells").alias("cell")))
+    return top(first.drop("rank").unionByName(second.drop("rank"))).select("src", "dst", "dist", F.col("rank").cast("int").alias("rank"))
 
 
 def mutual_fraction(edges: DataFrame) -> DataFrame:

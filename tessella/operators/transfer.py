@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -53,6 +54,8 @@ def spread(step: DataFrame, codes: DataFrame, *, clamp: bool = True, alpha: floa
         field = new
         if change is None or change < tolerance:
             break
+    else:
+        warnings.warn(f"labels had not settled after {most} rounds: the last change was {change:.2g}", stacklevel=2)
     support = moved(field)
     best = support.groupBy("src").agg(F.max(F.struct("f", (-F.col("c")).alias("c"))).alias("b"), F.sum("f").alias("total"))
     x = codes.join(best.withColumnRenamed("src", "cell_id"), "cell_id", "left")

@@ -618,6 +618,86 @@ def test_label_accessors(spark, cells):
     assert frame.triage_labels("kind", n_neighbors=4).filter("verdict <> 'own'").isEmpty()
 
 
+def test_knn_by_cells_of_pivots_is_exact(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.normal(0, 1, (120, 3)), rng.normal(30, 0.5, (80, 3)), np.repeat([[5.0, 5.0, 5.0]], 60, 0), rng.normal(0, 1, (40, 3)) + 1e5))
+    ids = rng.permutation(len(x))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    rows = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "cell_id long, features array<double>").repartition(3)
+    for exclude in (True, False):
+        own = d.copy()
+        if exclude:
+            np.fill_diagonal(own, np.inf)
+        want = {(int(ids[a]), k + 1): int(ids[b]) for a in range(len(x)) for k, b in enumerate(np.lexsort((ids, own[a]))[:6])}
+        got = kn.knn(rows, rows, 6, exclude_self=exclude, broadcast_bytes=16 * 3 * 40).collect()
+        assert {(r["src"], r["rank"]): r["dst"] for r in got} == want
+
+
+def test_split_coclustering_equals_the_whole(spark):
+    rng = np.random.default_rng(0)
+    rows = spark.createDataFrame([(i, run, int(rng.integers(-1, 2))) for i in range(60) for run in range(4)], "cell_id long, run long, label long")
+    whole, split = ({(r["i"], r["j"]): r["freq"] for r in cs.coclustering(rows, block=b).collect()} for b in (5000, 7))
+    assert whole == split
+    with pytest.raises(ValueError):
+        cs.coclustering(rows, most=10)
+
+
+def test_group_quantiles(spark):
+    from tessella.functions.quantiles import group_quantile
+
+    rng = np.random.default_rng(0)
+    pdf = pd.DataFrame({"g": rng.integers(0, 4, 700), "v": np.round(rng.normal(size=700), 2)})
+    for direct in (10**6, 20):
+        got = {r["g"]: r["q"] for r in group_quantile(spark.createDataFrame(pdf), ["g"], "v", 0.37, "q", direct=direct).collect()}
+        assert got == pytest.approx(pdf.groupby("g")["v"].quantile(0.37).to_dict())
+
+
+def test_quantile_shape_and_fuzzy_weights_against_numpy(spark):
+    from statistics import NormalDist
+
+    from tessella.functions.scalers import quantile_scaled
+
+    x = np.random.default_rng(1).exponential(size=400)
+    got = np.array([r["x"] for r in quantile_scaled(spark.createDataFrame([(float(v),) for v in x], "x double"), ["x"], n_quantiles=21).collect()])
+    ranks = np.linspace(0, 1, 21)
+    marks = np.quantile(x, (1 + 98 * ranks) / 100)
+    shape = np.array([NormalDist().inv_cdf(min(max(r, 1e-7), 1 - 1e-7)) for r in ranks])
+    assert np.allclose(got, np.interp(x, marks, shape))
+    y = np.random.default_rng(2).normal(size=(40, 3))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(y)], "cell_id long, features array<double>")
+    d = np.sqrt(((y[:, None] - y[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    member = np.zeros((40, 40))
+    for i in range(40):
+        near = np.argsort(d[i])[:6]
+        rho, lo, hi = d[i, near].min(), 1e-9, 1e3
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if np.exp(-(d[i, near] - rho) / mid).sum() > np.log2(6) else (mid, hi)
+        member[i, near] = np.exp(-(d[i, near] - rho) / max(lo, 1e-3 * d[i, near].mean()))
+    joined = member + member.T - member * member.T
+    for r in kn.fuzzy_weights(kn.knn(rows, rows, 6)).collect():
+        assert r["weight"] == pytest.approx(joined[r["a"], r["b"]], abs=1e-3)
+
+
+def test_readings_by_hand(spark):
+    from tessella.operators import transfer as tr
+    from tessella.operators import validate as va
+
+    scores = spark.createDataFrame([(0, 0, 4, 4, 0.9), (0, 1, 4, 5, 0.5), (1, 0, 8, 4, 0.4), (1, 1, 8, 5, 0.3)], "run_a int, run_b int, k_a int, k_b int, ami double")
+    assert {(r["run_a"], r["run_b"]) for r in tr.best_pairs(scores).collect()} == {(0, 0), (0, 1), (1, 0)}
+    curve = {r["bin"]: (r["n_pairs"], r["mean"]) for r in tr.grain_curve(scores, ratio=2.0).collect()}
+    assert curve == {2: (2, pytest.approx(0.7)), 3: (1, pytest.approx(0.3))} or sum(n for n, _ in curve.values()) == 4
+    ref = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 1)], "cell_id long, code long")
+    drawn = spark.createDataFrame([(0, 5), (1, 5), (2, 6), (3, 7)], "cell_id long, code long")
+    assert codes_of(va.retention(ref, drawn), "kept") == {0: 0.5, 1: 0.5, 2: 0.0, 3: None}
+    rows = spark.createDataFrame([("s", a, b) for a, b in [(0, 0)] * 20 + [(1, 1)] * 20] + [("small", 0, 1)] * 5 + [(None, 0, 1)] * 50, "stratum string, a long, b long")
+    assert br.strata_ami(rows) == pytest.approx(1.0) and br.ami(rows.filter("stratum = 's'").select("a", "b")) == pytest.approx(1.0)
+    with pytest.warns(UserWarning, match="settled"):
+        step = spark.createDataFrame([(k, k + 1, 0.5) for k in range(1, 9)] + [(k + 1, k, 0.5) for k in range(9)], "src long, dst long, t double")
+        tr.spread(step, spark.createDataFrame([(k, 0 if k == 0 else -1) for k in range(10)], "cell_id long, code long"), most=2)
+
+
 def test_knn_far_from_the_origin_and_ties_by_id(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(150, 5))
