@@ -93,7 +93,7 @@ def exact_dedup(
 
     Texts are equal when they are identical without white space. Of equal texts the row with the most code points
     stays, then the one with the smallest id; a null text is the empty text, a null id comes last, and of rows
-    repeated with one id the first in the input's files stays. An empty table gives no rows.
+    repeated with one id the first in the input's files stays. An empty table gives no rows. Very long texts are read whole.
     digest may be replaced (tests use a poor one): the bytes decide, the digest only finds candidates.
     """
     rows = located(df)
@@ -126,10 +126,11 @@ def exact_dedup(
     out = index.join(best, "digest").select("digest", "doc_id", "__file", "__row", "keep_id", "group_size", here.alias("kept"))
     if not differ.isEmpty():
         out = _regrouped(out, index, hits, differ)
-        digests = hits.select("__file", "__row", sha256(F.col("norm")).alias("sha"))
-        out = out.join(digests, ["__file", "__row"], "left").withColumn("digest", F.coalesce("sha", "digest"))
-    else:
+    elif digest is sha256:
         drop_staged(hits, differ)
+    if digest is not sha256:  # what is returned is the SHA-256, whatever found the candidates
+        digests = keyed.select("__file", "__row", sha256(F.col("norm")).alias("sha"))
+        out = out.join(digests, ["__file", "__row"]).withColumn("digest", F.col("sha"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "__file", "__row")
 
 

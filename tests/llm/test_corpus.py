@@ -383,7 +383,7 @@ def test_exact_dedup(spark, docs, nothing):
     poor = lambda t: F.unhex(F.hex(F.char_length(t) % 3))  # noqa: E731  collides all the time
     for digest in (exact_dedup.sha256, poor):
         got = exact_dedup.exact_dedup(docs, digest=digest, files_per_trigger=1).collect()
-        assert bag((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == bag(x[:3] for x in brute_exact(pairs(docs)))
+        assert bag((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == bag(brute_exact(pairs(docs)))
         assert sum(r["kept"] for r in got) == len({x[3] for x in brute_exact(pairs(docs))})
         assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got if r["doc_id"] != 17)
     got = exact_dedup.exact_dedup(docs).collect()
@@ -534,9 +534,24 @@ def test_pipeline_stages(spark):
     assert kept == {x[1] for x in brute_exact(pairs(docs))}
     single = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
     assert single == {x[2] for x in brute_simhash(pairs(docs))}
+    # the whole pipeline against brute force, but for the field, which is trained alike and asked here itself
     out = corpus_pipeline.run(spark, SF).toPandas()
-    assert set(out["doc_id"]) <= rows.keys() and (out.groupby("sequence_id")["length"].sum() <= 1024).all()
-    assert isinstance(out, pd.DataFrame)
+    assert isinstance(out, pd.DataFrame) and (out.groupby("sequence_id")["length"].sum() <= 1024).all()
+    field = toxicity.fitted(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    toxic = {r["doc_id"] for r in toxicity.toxicity(docs, field).filter("predicted = 1").collect()}
+    clean = [(i, t) for i, t in rows.items() if i not in toxic]
+    first = {x[1] for x in brute_exact(clean)}
+    single = {x[2] for x in brute_simhash([(i, t) for i, t in clean if i in first])}
+    t, scanner = library("byte_bpe_50k.json"), secrets.default_scanner()
+    want = {}
+    for i in single:
+        text, done, at = rows[i], [], 0
+        for start, k, end in scanner.scan([text])[0]:
+            if start >= at:
+                done += [text[at:start], f"[{scanner.rules[k].kind.upper()}]"]
+            at = max(at, end)
+        want[i] = len(t.encode("".join(done) + text[at:], add_special_tokens=False).ids) + 1
+    assert out.groupby("doc_id")["length"].sum().to_dict() == want
 
 
 @pytest.mark.parametrize("text", [" " * 1_001_000 + "x", "a" + "\n \t" * 400_000 + "b <|endoftext|> c"])
