@@ -246,8 +246,8 @@ def encode_decode(df: DataFrame, encoder: Callable[[], ChunkEncoder], id_col: st
     bodies = f"doc_id {kind}, at long, __row long, z binary"
     small = rows.select(inner(df, id_col).alias("doc_id"), at, "__row", text).mapInArrow(_in_arrow(packed, bodies), bodies)
     once = small.select("at", "z").join(owned, "at").select("z", "owned").mapInArrow(_in_arrow(encode_owned, "key binary, ids binary"), "key binary, ids binary")
-    encoded = staged(once, "encoded").dropDuplicates(["key"])
-    # what two owners encode is the same, and one stays
+    # staged, so that the join of a chunk that very many documents share can be split; two owners of one chunk do no harm
+    encoded = staged(once, "encoded")
     shared = each.join(encoded, "key").groupBy(*place).agg(F.collect_list(F.struct("k", "ids")).alias("shared"))
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_shared_bytes long" + ", ids array<long>, decoded string" * contents
     return small.join(shared, place, "left").select("doc_id", "z", "shared").mapInArrow(_in_arrow(put_together, schema), schema)
