@@ -67,13 +67,15 @@ def running_total(df: DataFrame, by: list[str], order: str, value: str, out: str
     return parts.join(sums, [*by, "__range"]).withColumn(out, F.col("__before") + F.sum(value).over(upto(*by, "__range"))).drop("__range", "__before")
 
 
-def group_quantile(df: DataFrame, by: list[str], value: str, share: float, out: str, *, direct: int = DIRECT) -> DataFrame:
-    """(by..., out): the exact linear quantile of each group, by counting distinct values; null and NaN are left out."""
+def group_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], *, direct: int = DIRECT) -> DataFrame:
+    """(by..., a column a share): exact linear quantiles of each group, by counting distinct values; null and NaN are left out."""
     rows = df.select(*by, nan_to_null(F.col(value).cast("double")).alias("__v")).filter("__v IS NOT NULL")
     counts = running_total(rows.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n")), by, "__v", "__n", "__upto", direct=direct)
-    total = counts.groupBy(*by).agg(F.sum("__n").alias("__all")).withColumn("__rank", F.lit(float(share)) * (F.col("__all") - 1))
-    x = counts.join(total, by)
-    upto, rank = F.col("__upto"), F.col("__rank")
-    inside = lambda r: (upto > r) & (upto - F.col("__n") <= r)
-    low, high = F.max(F.when(inside(F.floor(rank)), F.col("__v"))), F.max(F.when(inside(F.ceil(rank)), F.col("__v")))
-    return x.groupBy(*by).agg((low + (high - low) * F.first(rank - F.floor(rank))).alias(out))
+    x = counts.join(counts.groupBy(*by).agg(F.sum("__n").alias("__all")), by)
+    out = []
+    for name, share in shares.items():
+        rank = F.lit(float(share)) * (F.col("__all") - 1)
+        at = lambda r: F.max(F.when((F.col("__upto") > r) & (F.col("__upto") - F.col("__n") <= r), F.col("__v")))
+        low, high = at(F.floor(rank)), at(F.ceil(rank))
+        out.append((low + (high - low) * F.first(rank - F.floor(rank))).alias(name))
+    return x.groupBy(*by).agg(*out)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.quantiles import group_quantile
+from tessella.functions.quantiles import group_quantiles
 from tessella.operators.knn import knn_graph
 from tessella.operators.validate import dip_statistic
 
@@ -27,7 +27,7 @@ def _peaks(rows: DataFrame, share: float = 0.9) -> DataFrame:
     The quantile is read off running counts of distinct densities: no task sorts a whole cluster.
     """
     sizes = rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum("degree").alias("volume"))
-    return sizes.join(group_quantile(rows, ["code"], "rho", share, "peak"), "code").select("code", "n", "volume", "peak")
+    return sizes.join(group_quantiles(rows, ["code"], "rho", {"peak": share}), "code").select("code", "n", "volume", "peak")
 
 
 def _pairs(clusters: DataFrame) -> DataFrame:

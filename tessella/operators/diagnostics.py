@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.quantiles import group_quantile, percentiles, running_total
+from tessella.functions.quantiles import group_quantiles, percentiles, running_total
 from tessella.functions.scalars import is_finite
 from tessella.operators.knn import with_codes
 from tessella.operators.space import moments
+from tessella.sources.staging import cut_lineage
 
 
 def long(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -118,12 +119,10 @@ def stratum_shift(df: DataFrame, columns: list[str], stratum: str, reference: st
     """Kolmogorov-Smirnov distance and median shift, in the reference's quartile range, of each stratum against the reference."""
     rows = long(df, columns, [stratum])
     counts = rows.groupBy("feature", stratum, "value").agg(F.count(F.lit(1)).alias("n"))
-    sizes = rows.groupBy("feature", stratum).agg(F.count(F.lit(1)).alias("n_cells")).join(group_quantile(rows, ["feature", stratum], "value", 0.5, "median"), ["feature", stratum])
-    own = rows.filter(F.col(stratum) == reference)
-    ref = own.groupBy("feature").agg(F.count(F.lit(1)).alias("n_ref"))
-    for k, share in enumerate((0.25, 0.5, 0.75)):
-        ref = ref.join(group_quantile(own, ["feature"], "value", share, f"q{k}"), "feature")
-    ref = ref.select("feature", "n_ref", F.array("q0", "q1", "q2").alias("q"))
+    quartiles = group_quantiles(rows, ["feature", stratum], "value", {"q0": 0.25, "median": 0.5, "q2": 0.75})
+    sizes = cut_lineage(counts.groupBy("feature", stratum).agg(F.sum("n").alias("n_cells")).join(quartiles, ["feature", stratum]))  # one row a feature and stratum
+    ref = sizes.filter(F.col(stratum) == reference).select("feature", F.col("n_cells").alias("n_ref"), F.array("q0", "median", "q2").alias("q"))
+    sizes = sizes.drop("q0", "q2")
     at = counts.filter(F.col(stratum) == reference).select("feature", "value", F.col("n").alias("m"))
     strata = sizes.filter((F.col(stratum) != reference) & (F.col("n_cells") >= min_cells)).select("feature", stratum)
     mine = counts.join(strata, ["feature", stratum]).select("feature", stratum, "value", "n", F.lit(0).cast("long").alias("m"))
@@ -306,10 +305,8 @@ def column_profile(rows: DataFrame, column: str, code: str = "code", bins: int =
     """(code, bin, n, q25, q50, q75): a histogram of each cluster on shared edges, beside its quartiles."""
     x = F.col(column).cast("double")
     fine = rows.filter(is_finite(x))
-    out = column_histogram(rows, column, code, bins)
-    for name, share in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
-        out = out.join(group_quantile(fine, [code], column, share, name), code)
-    return out.select(code, "bin", "n", "q25", "q50", "q75")
+    quartiles = group_quantiles(fine, [code], column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return column_histogram(rows, column, code, bins).join(quartiles, code).select(code, "bin", "n", "q25", "q50", "q75")
 
 
 def cluster_heatmap(df: DataFrame, columns: list[str], code: str = "code", *, top: int = 40) -> DataFrame:

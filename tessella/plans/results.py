@@ -77,6 +77,15 @@ def join_datasets_ids(spark, sf_dir):
     return rounded(joined.df.select("cell_id", "dataset", "source_cell_id", "balance", joined.mask("positive").alias("positive")), "balance", digits=4)
 
 
+@query("""WITH q AS (SELECT quantile_cont(p_retailprice, list_transform(range(0, 21), lambda r: (1 + 98 * r / 20.0) / 100)) AS q FROM part),
+x AS (SELECT p_partkey, least(greatest(p_retailprice, q[1]), q[21]) AS v, greatest(1, least(20, len(list_filter(q, lambda m: m <= p_retailprice)))) AS k, q FROM part, q)
+SELECT p_partkey, round((k - 1 + CASE WHEN q[k + 1] > q[k] THEN (v - q[k]) / (q[k + 1] - q[k]) ELSE 0 END) / 20, 6) AS p_retailprice FROM x""")
+def quantile_uniform(spark, sf_dir):
+    from tessella.functions.scalers import quantile_scaled
+
+    return rounded(quantile_scaled(read_table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), ["p_retailprice"], n_quantiles=21, normal=False), "p_retailprice")
+
+
 # labels
 
 

@@ -643,12 +643,12 @@ def test_split_coclustering_equals_the_whole(spark):
 
 
 def test_group_quantiles(spark):
-    from tessella.functions.quantiles import group_quantile
+    from tessella.functions.quantiles import group_quantiles
 
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame({"g": rng.integers(0, 4, 700), "v": np.round(rng.normal(size=700), 2)})
     for direct in (10**6, 20):
-        got = {r["g"]: r["q"] for r in group_quantile(spark.createDataFrame(pdf), ["g"], "v", 0.37, "q", direct=direct).collect()}
+        got = {r["g"]: r["q"] for r in group_quantiles(spark.createDataFrame(pdf), ["g"], "v", {"q": 0.37}, direct=direct).collect()}
         assert got == pytest.approx(pdf.groupby("g")["v"].quantile(0.37).to_dict())
 
 
