@@ -128,13 +128,16 @@ def ordered(rules, texts: list[str]) -> list[int]:
 
 
 def cascade_order(df: DataFrame, text_col: str = "text", rules=RULES, sample: int = 500, longest: int = 20_000) -> list[int]:
-    """The cascade's order from the `sample` texts of least hash among those of up to `longest` characters.
+    """The cascade's order from about `sample` rows, of texts of up to `longest` characters.
 
-    It decides cost, not results, so a bounded sample will do.
+    It decides cost, not results, so a bounded sample will do: the rows whose places have the least hashes. The
+    hashes are ordered without the texts; then only the texts below the bound are read.
     """
-    text = quoted(text_col).cast("string").alias("t")
-    rows = df.select(text).filter(F.length("t").between(1, longest)).orderBy(F.xxhash64("t")).limit(sample).toLocalIterator()
-    return ordered(rules, [x["t"] for x in rows])
+    rows = df.select(quoted(text_col).cast("string").alias("t"), F.xxhash64(F.monotonically_increasing_id()).alias("h")).filter(F.length("t").between(1, longest))
+    bound = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if bound is None:
+        return list(range(len(rules)))
+    return ordered(rules, [x["t"] for x in rows.filter(F.col("h") <= bound).select("t").limit(2 * sample).toLocalIterator()])
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rules=RULES, order: list[int] | None = None, sample: int = 500) -> DataFrame:
