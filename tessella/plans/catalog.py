@@ -284,12 +284,6 @@ def agreement(spark, sf_dir):
     return rounded(ag.agreement(ag.contingency(customer_codes(spark, sf_dir))), "ari", "nmi", "fmi", "jaccard", "coverage")
 
 
-@query()
-def compare_many(spark, sf_dir):
-    rows, _ = partitions(spark, sf_dir)
-    return rounded(ag.compare_many(rows.select("cell_id", F.concat(F.lit("r"), F.col("run").cast("string")).alias("name"), F.col("label").alias("code"))), "value")
-
-
 # diagnostics
 
 
@@ -563,12 +557,6 @@ def consensus_plateaus(spark, sf_dir):
     return rounded(cs.plateaus(spark.createDataFrame(scan)), "lo", "hi", "midpoint", "width")
 
 
-@query()
-def axis_stability(spark, sf_dir):
-    rows, runs = partitions(spark, sf_dir)
-    return cs.axis_stability(rows, cs.run_summary(rows, runs), three_codes(rows), ("graph_type", "n_neighbors"))
-
-
 @query()
 def leiden_consensus(spark, sf_dir):
     graph = kn.distance_weights(edges(spark, sf_dir)).select(F.lit(0).alias("graph"), "a", "b", "weight")
@@ -598,13 +586,6 @@ def carry_votes(spark, sf_dir):
     return rounded(tr.carry(votes.withColumn("w", F.round("w", 12)), b, a), "confidence")
 
 
-@query()
-def cluster_verdicts(spark, sf_dir):
-    a, b, votes = bridge(spark, sf_dir)
-    own = kn.knn(b, b, 10).select(F.col("src").alias("tgt"), F.col("dst").alias("src"), F.lit(0.1).alias("w"))
-    return tr.verdicts(tr.carried_purity(votes, b, a), tr.carried_purity(own, b, b))
-
-
 @query("""
 WITH x AS (SELECT quality AS code, lang AS audit, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
 t AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY n DESC, audit) AS r FROM x)
